@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import quality
+from skerry.llm import packing, quality, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,27 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"q.{n}") for n in names], failed.alias("base_failed"), (~failed & quality.verdict("q")).alias("kept"))
 
 
+def _vocabulary(name: str) -> str:
+    """A file of the public tokenizers; they are read where they are installed, on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", "text")
+    return packing.pack(docs, _vocabulary("byte_bpe_50k.json"), _vocabulary("byte_bpe_50k.tiktoken"))
+
+
+def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(_read(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.exact_top_k(_read(spark, folder, "embeddings"))
+
+
 _STOP = ", ".join(f"'{form}'" for form in sorted({f for g in quality.STOP_WORDS.values() for w in g for f in (w, w.capitalize())}))
 
 OP4_SQL = f"""
@@ -46,9 +67,25 @@ FROM m
 """
 
 
+OP10_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS xs FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             list_sum(list_transform(list_zip(q.xs, c.xs), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op4_quality_rules": op4_quality_rules}
+    return {
+        "op1_best_fit_packing": op1_best_fit_packing,
+        "op4_quality_rules": op4_quality_rules,
+        "op6_simhash_near_dedup": op6_simhash_near_dedup,
+        "op10_exact_top_k": op10_exact_top_k,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op10_exact_top_k": OP10_SQL}
