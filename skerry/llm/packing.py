@@ -12,6 +12,7 @@ the template that holds this rank.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,73 +40,88 @@ class Plan:
 
 
 class _Counts:
-    """Available lengths, with lookups of exact complements of up to three pieces."""
+    """Available lengths, and the index of exact complements of up to three pieces.
+
+    The index is two bit sets over lengths, one of them mirrored: shifted against each other by a gap and intersected,
+    they hold every pair with that sum. Triples are a first length and the pair entry of the rest.
+    """
 
     def __init__(self, counts: np.ndarray, balanced: bool):
-        self.n = counts.astype(np.int64).copy()
-        self.n[0] = 0
+        self.n = [0, *(int(x) for x in counts[1:])]
+        self.top = len(self.n)
         self.balanced = balanced
+        self.bits = sum(1 << i for i, x in enumerate(self.n) if x)
+        self.mirror = sum(1 << (self.top - i) for i, x in enumerate(self.n) if x)
+
+    def add(self, length: int, k: int) -> None:
+        before, self.n[length] = self.n[length], self.n[length] + k
+        if (before > 0) != (self.n[length] > 0):
+            self.bits ^= 1 << length
+            self.mirror ^= 1 << (self.top - length)
+
+    def largest(self, gap: int) -> int:
+        """The longest available length up to the gap, or 0."""
+        return max((self.bits & ((1 << (gap + 1)) - 1)).bit_length() - 1, 0)
 
     def single(self, gap: int) -> tuple[int, ...] | None:
         return (gap,) if self.n[gap] > 0 else None
 
     def pair(self, gap: int) -> tuple[int, ...] | None:
-        """Two lengths whose sum is the gap: the index entry of that sum, read off the counts."""
-        low = np.arange(1, gap // 2 + 1)
-        high = gap - low
-        ok = (self.n[low] > 0) & (self.n[high] > 0) & ((low != high) | (self.n[low] > 1))
-        hit = np.flatnonzero(ok)
-        if not len(hit):
+        half = gap // 2
+        found = self.bits & (self.mirror >> (self.top - gap)) & ((1 << (half + 1)) - 1)
+        if gap % 2 == 0 and self.n[half] == 1:
+            found &= ~(1 << half)
+        if not found:
             return None
-        a = int(low[hit[-1] if self.balanced else hit[0]])
-        return (gap - a, a)
+        low = (found.bit_length() if self.balanced else (found & -found).bit_length()) - 1
+        return (gap - low, low)
 
     def triple(self, gap: int) -> tuple[int, ...] | None:
-        """Three lengths: a largest one whose rest is in the index of pair sums."""
-        present = np.flatnonzero(self.n[: gap + 1])
-        for a in present[::-1] if not self.balanced else present[np.argsort(np.abs(present - gap // 3), kind="stable")]:
-            if gap - a < 2:
+        """Three lengths, the first of them as long as can be or, if balanced, from a third of the gap upwards."""
+        left = self.bits & ((1 << max(gap - 1, 0)) - 1)
+        order = range(-(-gap // 3), gap - 1) if self.balanced else range(left.bit_length() - 1, 0, -1)
+        for a in order:
+            if not left >> a & 1:
                 continue
-            self.n[a] -= 1
-            rest = self.pair(int(gap - a))
-            self.n[a] += 1
+            self.add(a, -1)
+            rest = self.pair(gap - a)
+            self.add(a, 1)
             if rest:
-                return tuple(sorted((int(a), *rest), reverse=True))
+                return (a, *rest)
         return None
 
     def exact(self, gap: int) -> tuple[int, ...] | None:
         return self.single(gap) or self.pair(gap) or self.triple(gap)
 
-    def take(self, pieces: tuple[int, ...]) -> int:
+    def take(self, pieces: list[int]) -> int:
         """As many copies of the combination as the counts allow; they are used up."""
-        lengths, need = np.unique(np.array(pieces), return_counts=True)
-        k = int((self.n[lengths] // need).min())
-        self.n[lengths] -= k * need
+        need = Counter(pieces)
+        k = min(self.n[length] // n for length, n in need.items())
+        for length, n in need.items():
+            self.add(length, -k * n)
         return k
 
 
 def _plan(counts: np.ndarray, capacity: int, balanced: bool) -> Plan:
     left = _Counts(counts, balanced)
     templates: list[tuple[tuple[int, ...], int]] = []
-    if left.n[capacity]:
-        templates.append(((capacity,), int(left.n[capacity])))
-        left.n[capacity] = 0
-    for length in range(capacity - 1, 0, -1):
-        while left.n[length] > 0:
-            pieces, gap = [length], capacity - length
-            left.n[length] -= 1
-            while gap:
-                chosen = left.exact(gap)
-                if chosen is None:
-                    fitting = np.flatnonzero(left.n[1 : gap + 1])
-                    if not len(fitting):
-                        break
-                    chosen = (int(fitting[-1]) + 1,)
-                np.subtract.at(left.n, list(chosen), 1)
-                pieces += chosen
-                gap -= sum(chosen)
-            np.add.at(left.n, pieces, 1)  # one copy was only set aside; now as many as the counts allow are used
-            templates.append((tuple(pieces), left.take(tuple(pieces))))
+    while length := left.largest(capacity):
+        pieces, gap = [length], capacity - length
+        left.add(length, -1)
+        while gap:
+            chosen = left.exact(gap)
+            if chosen is None:
+                fitting = left.largest(gap)
+                if not fitting:
+                    break
+                chosen = (fitting,)
+            for piece in chosen:
+                left.add(piece, -1)
+            pieces += chosen
+            gap -= sum(chosen)
+        for piece in pieces:  # one copy was only set aside; now as many as the counts allow are used
+            left.add(piece, 1)
+        templates.append((tuple(pieces), left.take(pieces)))
     return Plan(templates)
 
 
