@@ -71,7 +71,7 @@ def _planes(fps: np.ndarray) -> np.ndarray:
     padded = np.zeros(blocks * 64, "<u8")
     padded[: len(fps)] = fps
     bits = np.unpackbits(padded.view(np.uint8).reshape(blocks, 64, 8), axis=2, bitorder="little")
-    return np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").view("<u8").reshape(blocks, 64)
+    return np.packbits(np.ascontiguousarray(bits.transpose(0, 2, 1)), axis=2, bitorder="little").reshape(-1).view("<u8").reshape(blocks, 64)
 
 
 def near_pairs(fps: np.ndarray, until: np.ndarray, radius: int = RADIUS, after: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
