@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import packing, quality, simhash, topk
+from skerry.llm import htmltext, packing, quality, simhash, topk, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,23 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(docs, _vocabulary("byte_bpe_50k.json"), _vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of a page are those of the document with its number: bad is of low quality or toxic."""
+    bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
+    labels = _read(spark, folder, "labels").select(F.col("doc_id").alias("page"), bad.alias("bad"))
+    return urls.judge_urls(_read(spark, folder, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    found = htmltext.extract(_read(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.derivatives(warc.page_responses(_read(spark, folder, "pages")), key="page_id")
+    return found.select("page_id", "kind", "record_id", "refers_to", "target_uri", "date", "content_type", "content_length", "block_digest", "source_payload_digest", F.sha2("record", 256).alias("record_sha256"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -67,6 +84,36 @@ FROM m
 """
 
 
+_TWO = ", ".join(f"'{x}'" for x in urls.TWO_LABEL_SUFFIXES)
+_FITS = [(r, f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))") for r in sorted(urls.RULES, key=lambda r: -len(r.text))]
+_STRENGTH = """SELECT CASE WHEN k > 1 AND nn > 0 AND v > 0 AND sc > 0 THEN CASE WHEN rho <= 0 THEN 10000.0 ELSE least(10000.0, greatest(1.0, 1 / rho - 1)) END
+  ELSE 10000.0 END AS s, CASE WHEN nn > 0 THEN bb / nn ELSE 0.0 END AS mean
+  FROM (SELECT *, (b2 - nn * (bb / nn) * (bb / nn) - (k - 1) * v) / nullif(sc, 0) AS rho
+    FROM (SELECT *, (bb / nn) * (1 - bb / nn) AS v, (nn - n2 / nn - (k - 1)) * (bb / nn) * (1 - bb / nn) AS sc
+      FROM (SELECT sum(n) AS nn, sum(b) AS bb, count(*) AS k, sum(n * n) AS n2, sum(b * b / n) AS b2 FROM {0} WHERE n > 0)))"""
+
+OP2_SQL = f"""
+WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+l AS (SELECT doc_id, count(*) AS n, sum((coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1)::INT) AS b FROM labels GROUP BY doc_id),
+hs AS (SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(b), 0)::DOUBLE AS b FROM h LEFT JOIN l ON page_id = doc_id GROUP BY host),
+x AS (SELECT *, string_split(host, '.') AS parts FROM hs),
+y AS (SELECT *, array_to_string(parts[-2:], '.') AS two FROM x),
+hosts AS (SELECT host, n, b, CASE WHEN two IN ({_TWO}) THEN array_to_string(parts[-3:], '.') ELSE two END AS domain,
+                 CASE WHEN two IN ({_TWO}) THEN two ELSE parts[-1] END AS suffix FROM y),
+domains AS (SELECT suffix, domain, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM domains GROUP BY ALL),
+s0 AS ({_STRENGTH.format('suffixes')}), s1 AS ({_STRENGTH.format('domains')}), s2 AS ({_STRENGTH.format('hosts')}),
+m0 AS (SELECT suffix, (b + s * mean) / (n + s) AS m0 FROM suffixes, s0),
+m1 AS (SELECT domain, suffix, (b + s * m0) / (n + s) AS m1 FROM domains JOIN m0 USING (suffix), s1),
+m2 AS (SELECT host, (b + s * m1) / (n + s) AS m, n + s AS w FROM hosts JOIN m1 USING (domain, suffix), s2)
+SELECT page_id, host, path, CASE {' '.join(f"WHEN {c} THEN '{r.text}'" for r, c in _FITS)} END AS rule,
+       CASE {' '.join(f"WHEN {c} THEN '{r.verdict}'" for r, c in _FITS)}
+            WHEN m - {urls.Z} * sqrt(greatest(m * (1 - m), 0) / (w + 1)) > {urls.THRESHOLD} THEN 'block' ELSE 'allow' END AS verdict
+FROM h JOIN m2 USING (host)
+"""
+
 OP10_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS xs FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -81,11 +128,14 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_url_filter": op2_url_filter,
         "op4_quality_rules": op4_quality_rules,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
+        "op7_html_extraction": op7_html_extraction,
+        "op8_warc_derivatives": op8_warc_derivatives,
         "op10_exact_top_k": op10_exact_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL, "op10_exact_top_k": OP10_SQL}
+    return {"op2_url_filter": OP2_SQL, "op4_quality_rules": OP4_SQL, "op10_exact_top_k": OP10_SQL}
