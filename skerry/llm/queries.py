@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import htmltext, packing, quality, simhash, topk, urls, warc
+from skerry.llm import bpe, htmltext, packing, quality, simhash, topk, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,13 @@ def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, _vocabulary("byte_bpe_multi_50k.tiktoken"))
+    ids = (F.octet_length("ids") / 4).cast("long")
+    return coded.select("doc_id", ids.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.exact_top_k(_read(spark, folder, "embeddings"))
 
@@ -133,6 +140,7 @@ def queries() -> dict[str, Query]:
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_html_extraction": op7_html_extraction,
         "op8_warc_derivatives": op8_warc_derivatives,
+        "op9_byte_bpe": op9_byte_bpe,
         "op10_exact_top_k": op10_exact_top_k,
     }
 
