@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import bpe, htmltext, packing, quality, simhash, topk, urls, warc
+from skerry.llm import bpe, htmltext, interpolation, packing, quality, simhash, topk, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,10 @@ def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.exact_top_k(_read(spark, folder, "embeddings"))
 
 
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return interpolation.score(_read(spark, folder, "documents").select("doc_id", "text"))
+
+
 _STOP = ", ".join(f"'{form}'" for form in sorted({f for g in quality.STOP_WORDS.values() for w in g for f in (w, w.capitalize())}))
 
 OP4_SQL = f"""
@@ -136,6 +140,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_url_filter": op2_url_filter,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_quality_rules": op4_quality_rules,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_html_extraction": op7_html_extraction,
