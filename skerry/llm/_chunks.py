@@ -45,15 +45,16 @@ def expand(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def with_chunks(docs: DataFrame, key: str, text: str, rows: int = ROWS) -> DataFrame:
-    """(chunk long, key long, text string). Rows that do not come straight from files are written to the shared folder
+def with_chunks(docs: DataFrame, key: str, text: str, rows: int = ROWS, carry: bool = False) -> DataFrame:
+    """(chunk long, key long, text string), and with ``carry`` a string of all other columns. Rows that do not come straight from files are written to the shared folder
     first, so that their place never changes."""
     try:
         docs.select("_metadata.row_index", "_metadata.file_path")
     except AnalysisException:
-        docs = written(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), "texts")
+        docs = written(docs if carry else docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), "texts")
     chunk = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / rows))
-    return docs.select(chunk.alias("chunk"), F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    others = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])).alias("others")] if carry else []
+    return docs.select(chunk.alias("chunk"), F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"), *others)
 
 
 def runs(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -70,8 +71,7 @@ def text_blobs(chunked: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(chunk, parts):
-            keys, valid, sizes, data = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            blob = squeeze(keys, valid, sizes, data)
+            blob = squeeze(*[np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]))])
             return pa.record_batch([pa.array([chunk], pa.int64()), pa.array([TEXTS], pa.int32()), pa.array([blob], pa.binary())], names=["chunk", "kind", "blob"])
 
         now, held, size = None, [], 0
@@ -83,7 +83,11 @@ def text_blobs(chunked: DataFrame) -> DataFrame:
                 now = chunk
                 data, offsets = flat(part.column(2))
                 valid = part.column(1).is_valid().to_numpy(zero_copy_only=False).astype("u1")
-                held.append((part.column(1).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), valid, np.diff(offsets).astype("<i8"), data))
+                row = [part.column(1).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), valid, np.diff(offsets).astype("<i8"), data]
+                if part.num_columns > 3:
+                    others, places = flat(part.column(3))
+                    row += [np.diff(places).astype("<i8"), others]
+                held.append(row)
                 size += len(data)
         if held:
             yield out(now, held)
@@ -93,12 +97,19 @@ def text_blobs(chunked: DataFrame) -> DataFrame:
 
 def texts_of(blob: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Keys (nulls kept), bytes and n + 1 offsets of a text blob."""
-    keys, valid, sizes, data = expand(blob)
+    keys, valid, sizes, data = expand(blob)[:4]
     offsets = np.zeros(len(sizes) + 1, np.int64)
     np.cumsum(sizes, out=offsets[1:])
     return pa.array(keys, mask=valid == 0), data, offsets
 
 
+def others_of(blob: bytes) -> list[str]:
+    """The carried columns of a text blob's rows."""
+    sizes, data = expand(blob)[4:6]
+    whole, edges = data.tobytes(), np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    return [whole[a:b].decode() for a, b in zip(edges, edges[1:], strict=False)]
+
+
 def grouped(batches: Iterator[pa.RecordBatch], columns: int = 1) -> Iterator[tuple[tuple, Iterator[tuple]]]:
     """Rows in order, grouped by their first columns; a group must be read before the next is asked for."""
     from itertools import groupby

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import bpe, htmltext, interpolation, packing, quality, simhash, topk, urls, warc
+from skerry.llm import bpe, htmltext, interpolation, packing, quality, simhash, suffixdedup, topk, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,11 @@ def op8_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "kind", "record_id", "refers_to", "target_uri", "date", "content_type", "content_length", "block_digest", "source_payload_digest", F.sha2("record", 256).alias("record_sha256"))
 
 
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixdedup.remove_repeats(_read(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -142,6 +147,7 @@ def queries() -> dict[str, Query]:
         "op2_url_filter": op2_url_filter,
         "op3_lm_scoring": op3_lm_scoring,
         "op4_quality_rules": op4_quality_rules,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_html_extraction": op7_html_extraction,
         "op8_warc_derivatives": op8_warc_derivatives,
