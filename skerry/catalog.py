@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skerry.functions import aggregates, scalars
 from skerry.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,9 +44,31 @@ FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL ORDER BY 1
 """
 
 
+def _base(spark: SparkSession, folder: str, text: str) -> DataFrame:
+    """A base projection over its table, read from the folder; the scan is pruned to the columns an entry uses."""
+    source = text.rsplit(" ", 1)[1]
+    columns = text[len("SELECT ") : -len(f" FROM {source}")]
+    return spark.sql(f"SELECT {columns} FROM {{t}}", t=table(spark, folder, source))
+
+
+def _scalar(name: str) -> Query:
+    entry = (scalars.SCALARS | scalars.UNCHECKED)[name]
+    return lambda spark, folder: scalars.project(_base(spark, folder, scalars.BASES[entry.base]), name)
+
+
+def _aggregate(name: str) -> Query:
+    return lambda spark, folder: aggregates.aggregate(_base(spark, folder, aggregates.BASE), name)
+
+
 def queries() -> dict[str, Query]:
-    return {"tpch_q1": tpch_q1}
+    found: dict[str, Query] = {"tpch_q1": tpch_q1}
+    found |= {f"fn_{n}": _scalar(n) for n in (*scalars.SCALARS, *scalars.UNCHECKED)}
+    found |= {f"agg_{n}": _aggregate(n) for n in aggregates.AGGREGATES}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"tpch_q1": TPCH_Q1}
+    found = {"tpch_q1": TPCH_Q1}
+    found |= {f"fn_{n}": scalars.duck_sql(n) for n in scalars.SCALARS}
+    found |= {f"agg_{n}": aggregates.duck_sql(n) for n in aggregates.AGGREGATES}
+    return found
