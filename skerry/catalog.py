@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.functions import aggregates, scalars
+from skerry.operators import catalog as operators
 from skerry.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,14 +62,14 @@ def _aggregate(name: str) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    found: dict[str, Query] = {"tpch_q1": tpch_q1}
+    found: dict[str, Query] = {"tpch_q1": tpch_q1} | operators.QUERIES
     found |= {f"fn_{n}": _scalar(n) for n in (*scalars.SCALARS, *scalars.UNCHECKED)}
     found |= {f"agg_{n}": _aggregate(n) for n in aggregates.AGGREGATES}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"tpch_q1": TPCH_Q1}
+    found = {"tpch_q1": TPCH_Q1} | operators.SQL
     found |= {f"fn_{n}": scalars.duck_sql(n) for n in scalars.SCALARS}
     found |= {f"agg_{n}": aggregates.duck_sql(n) for n in aggregates.AGGREGATES}
     return found
