@@ -9,6 +9,7 @@ again, or another split of the files, gives the same chunks.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 from skerry.llm._shared import written
 from skerry.llm._text import flat
 
-ROWS = 4096
+ROWS = 2048
 #: Kind of the rows that hold texts: they come after the answers of their chunk.
 TEXTS = 1 << 30
-_FLUSH = 4 << 20
+_FLUSH = 2 << 20
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -77,24 +78,44 @@ def text_blobs(chunked: DataFrame) -> DataFrame:
         now, held, size = None, [], 0
         for batch in batches:
             for chunk, part in runs(batch):
-                if held and (chunk != now or size > _FLUSH):
-                    yield out(now, held)
-                    held, size = [], 0
-                now = chunk
                 data, offsets = flat(part.column(2))
+                others, places = flat(part.column(3)) if part.num_columns > 3 else (None, None)
                 valid = part.column(1).is_valid().to_numpy(zero_copy_only=False).astype("u1")
-                row = [part.column(1).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), valid, np.diff(offsets).astype("<i8"), data]
-                if part.num_columns > 3:
-                    others, places = flat(part.column(3))
-                    row += [np.diff(places).astype("<i8"), others]
-                held.append(row)
-                size += len(data)
+                keys = part.column(1).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
+                for a, b in portions(offsets, _FLUSH):
+                    if held and (chunk != now or size + offsets[b] - offsets[a] > _FLUSH):
+                        yield out(now, held)
+                        held, size = [], 0
+                    now = chunk
+                    row = [keys[a:b], valid[a:b], np.diff(offsets[a : b + 1]).astype("<i8"), data[offsets[a] : offsets[b]].copy()]
+                    if others is not None:
+                        row += [np.diff(places[a : b + 1]).astype("<i8"), others[places[a] : places[b]].copy()]
+                    held.append(row)
+                    size += int(offsets[b] - offsets[a])
         if held:
             yield out(now, held)
 
     return chunked.mapInArrow(run, "chunk long, kind int, blob binary")
 
 
+def portions(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes; a longer text is a range of its own."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+        yield at, to
+        at = to
+
+
+def release() -> None:
+    """Give freed memory back to the system, so that idle Python workers do not hold what their largest group needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a glibc system
+        pass
+
+
 def texts_of(blob: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Keys (nulls kept), bytes and n + 1 offsets of a text blob."""
     keys, valid, sizes, data = expand(blob)[:4]
@@ -120,6 +141,7 @@ def grouped(batches: Iterator[pa.RecordBatch], columns: int = 1) -> Iterator[tup
 
     for head, group in groupby(rows(), key=lambda r: r[:columns]):
         yield head, group
+        release()
 
 
 def to_buckets(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm._chunks import ROWS, TEXTS, expand, grouped, others_of, runs, squeeze, text_blobs, texts_of, to_buckets, with_chunks
+from skerry.llm._chunks import ROWS, TEXTS, expand, grouped, others_of, portions, release, runs, squeeze, text_blobs, texts_of, to_buckets, with_chunks
 from skerry.llm._shared import partitions, written
 from skerry.llm._text import flat
 
@@ -94,23 +94,17 @@ class Stretches:
             stops = np.flatnonzero(stop)
             self.high = stops[np.searchsorted(stops, self.low, side="right")]  # one past the last window
             self.end = self.high - 1 + WINDOW
-            self.anchor = h[at[self.low]] & _KEY_BITS
+            # smallest grams have small hashes: mixed again, keys spread evenly over the ranges that buckets have
+            least = h[at[self.low]] * np.uint64(0x9FB21C651E98DF25)
+            least = (least ^ (least >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            self.anchor = (least ^ (least >> np.uint64(32))) & _KEY_BITS
             self.doc = np.searchsorted(offsets, self.low, side="right") - 1
             mixed = (sums[self.end] - sums[self.low]) * down[self.low] + (self.end - self.low).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
             self.text = mixed ^ (mixed >> np.uint64(29))
 
 
-def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Document ranges of about a megabyte; a longer document is a range of its own."""
-    at, n = 0, len(offsets) - 1
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _PIECE, side="right")) - 1)
-        yield at, to
-        at = to
-
-
 def _stretches_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, Stretches]]:
-    for a, b in _pieces(offsets):
+    for a, b in portions(offsets, _PIECE):
         base = offsets[a]
         yield a, int(base), Stretches(data[base : offsets[b]], offsets[a : b + 1] - base)
 
@@ -237,6 +231,7 @@ def _anchors(chunked: DataFrame, buckets: int) -> DataFrame:
                 if held and chunk != now:
                     yield from out(now, held)
                     held, base = [], 0
+                    release()
                 now = chunk
                 data, offsets = flat(part.column(2))
                 for a, _, s in _stretches_of(data, offsets):
