@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm._chunks import ROWS, TEXTS, expand, grouped, runs, squeeze, text_blobs, texts_of, to_buckets, with_chunks
+from skerry.llm._chunks import ROWS, TEXTS, expand, grouped, release, runs, squeeze, text_blobs, texts_of, to_buckets, with_chunks
 from skerry.llm._shared import partitions, written
 from skerry.llm._text import LOWER, flat, word_bounds
 
@@ -41,8 +41,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each lower-cased word: differences of prefix sums of byte values times powers of an odd number."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
+    """A 64-bit hash of each word, its bytes mapped by ``fold`` (lower-cased): differences of prefix sums of byte values times powers of an odd number."""
     out = np.zeros(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -51,20 +51,30 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         high = int(ends[upto - 1])
         n = high - low
         with np.errstate(over="ignore"):
-            power = np.full(n + 1, np.uint64(_POWER))
-            power[0] = 1
-            np.multiply.accumulate(power, out=power)
-            back = np.full(n + 1, np.uint64(_INVERSE))
-            back[0] = 1
-            np.multiply.accumulate(back, out=back)
+            power, back = powers(n + 1)
             sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTES[LOWER[data[low:high]]] * power[:-1], out=sums[1:])
+            np.cumsum(_BYTES[fold[data[low:high]]] * power[:-1], out=sums[1:])
             s, e = starts[at:upto] - low, ends[at:upto] - low
             out[at:upto] = _mix((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64))
         at = upto
     return out
 
 
+_tables: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse modulo 2^64; kept for the process."""
+    if not _tables or len(_tables[0]) < n:
+        _tables.clear()
+        for base in (_POWER, _INVERSE):
+            table = np.full(max(n, _SLICE + 4096), np.uint64(base))
+            table[0] = 1
+            np.multiply.accumulate(table, out=table)
+            _tables.append(table)
+    return _tables[0][:n], _tables[1][:n]
+
+
 class Tokens:
     """The tokens of some documents: hashes with one end per document, and each token's word and pair keys."""
 
@@ -84,26 +94,39 @@ class Tokens:
         previous[self.first] = _START
         with np.errstate(over="ignore"):
             self.word = tokens & ~np.uint64(1)
-            self.context = previous & ~np.uint64(1)
             self.pair = _mix(previous * np.uint64(0xD6E8FEB86659FD93) + _mix(tokens)) | np.uint64(1)
         self.fold = np.array([zlib.crc32(("" if k is None else str(k)).encode()) % FOLDS for k in keys], np.int64)
         self.token_fold = np.repeat(self.fold, self.counts)
 
+    def index(self) -> np.ndarray:
+        """All distinct keys, sorted; remembers where each token's word and pair are among them."""
+        words, self._word_of = np.unique(self.word, return_inverse=True)
+        pairs, self._pair_of = np.unique(self.pair, return_inverse=True)
+        keys = np.sort(np.concatenate([words, pairs, np.array([_START & ~np.uint64(1)])]))
+        self._word_at, self._pair_at = np.searchsorted(keys, words), np.searchsorted(keys, pairs)
+        self._start_at = int(np.searchsorted(keys, _START & ~np.uint64(1)))
+        return keys
+
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All keys, sorted, and their counts in the documents estimated from (folds 2 up) and in the deleted part (fold 1)."""
-        every = [np.unique(x) for x in (self.word, self.pair)]
-        keys = np.unique(np.concatenate([*every, np.array([_START & ~np.uint64(1)])]))
-        out = []
-        for part in (self.token_fold > 1, self.token_fold == 1):
+        """The keys and their counts in the documents estimated from (folds 2 up) and in the deleted part (fold 1)."""
+        keys, out = self.index(), []
+        for part, documents in ((self.token_fold > 1, self.fold > 1), (self.token_fold == 1, self.fold == 1)):
             count = np.zeros(len(keys), np.int64)
-            for column in (self.word, self.pair):
-                found, times = np.unique(column[part], return_counts=True)
-                count[np.searchsorted(keys, found)] += times
+            if part.any():
+                count[self._word_at] = np.bincount(self._word_of[part], minlength=len(self._word_at))
+                count[self._pair_at] = np.bincount(self._pair_of[part], minlength=len(self._pair_at))
+            count[self._start_at] = documents.sum()
             out.append(count)
-        start = np.searchsorted(keys, _START & ~np.uint64(1))
-        out[0][start], out[1][start] = (self.fold > 1).sum(), (self.fold == 1).sum()
         return keys, out[0], out[1]
 
+    def counts_of(self, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per token, the counts of its word, its pair and its context, from counts in the order of the keys."""
+        word = count[self._word_at][self._word_of]
+        context = np.empty_like(word)
+        context[1:] = word[:-1]
+        context[self.first] = count[self._start_at]
+        return word, count[self._pair_at][self._pair_of], context
+
 
 def _packed_keys(keys: np.ndarray) -> np.ndarray:
     """Differences of sorted keys by byte plane: the upper planes are nearly all zero and compress away."""
@@ -152,6 +175,7 @@ def _grams(chunked: DataFrame, buckets: int) -> DataFrame:
                 if held and chunk != now:
                     yield from out(now, held)
                     held = []
+                    release()
                 now = chunk
                 data, offsets = flat(part.column(2))
                 held.append((part.column(1), data, offsets))
@@ -190,7 +214,7 @@ def _totals(grams: DataFrame) -> DataFrame:
 
 
 def _chunks_with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Tokens, np.ndarray, np.ndarray]]:
-    """Per chunk: keys, tokens, and the position of each word, pair and context in the answered counts, with the counts."""
+    """Per chunk: document keys, indexed tokens, and the answered counts in the order of the index."""
     for _, rows in grouped(batches):
         answers, parts = [], []
         for _, kind, blob in rows:
@@ -200,6 +224,8 @@ def _chunks_with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.
                 answers.append([_unplanes(x) for x in expand(blob)])
         if parts and answers:
             keys, tokens = _read_chunk(parts)
+            if len(tokens.index()) != sum(len(a[0]) for a in answers):
+                raise RuntimeError("a chunk changed between two passes")
             yield keys, tokens, np.concatenate([a[0] for a in answers]), np.concatenate([a[1] for a in answers])
 
 
@@ -263,8 +289,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int =
 
     def deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, tokens, est, _ in _chunks_with_counts(batches):
-            keys = tokens.distinct()[0]
-            word, pair, context = (est[np.searchsorted(keys, x)] for x in (tokens.word, tokens.pair, tokens.context))
+            word, pair, context = tokens.counts_of(est)
             bucket, uni, bi = _estimates(word, pair, context, n_est)
             both = (uni.astype("<f4").view("<u4").astype(np.uint64) << np.uint64(32)) | bi.astype("<f4").view("<u4")
             for b in np.unique(bucket):
@@ -280,9 +305,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int =
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, tokens, est, hold in _chunks_with_counts(batches):
-            keys = tokens.distinct()[0]
-            count = est + hold
-            word, pair, context = (count[np.searchsorted(keys, x)] for x in (tokens.word, tokens.pair, tokens.context))
+            word, pair, context = tokens.counts_of(est + hold)
             bucket, uni, bi = _estimates(word, pair, context, total)
             w = weights[bucket]
             w = np.where((context > 0)[:, None], w, w * [1.0, 1.0, 0.0])
