@@ -101,9 +101,11 @@ def _(t):
 
 @query("sink_parquet_bucketed", "SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 def _(t):
-    write_bucketed(t.orders.select("o_custkey"), "skerry_orders_bucketed", 4, ["o_custkey"])
-    write_bucketed(t.customer.select("c_custkey", "c_mktsegment"), "skerry_customer_bucketed", 4, ["c_custkey"])
-    left, right = t.spark.table("skerry_orders_bucketed"), t.spark.table("skerry_customer_bucketed")
+    at = t.scratch()
+    names = [f"skerry_{n}_{at.rstrip('/').rsplit('/', 1)[1].replace('-', '_')}" for n in ("orders", "customer")]
+    write_bucketed(t.orders.select("o_custkey"), names[0], 4, ["o_custkey"], path=at + "/o")
+    write_bucketed(t.customer.select("c_custkey", "c_mktsegment"), names[1], 4, ["c_custkey"], path=at + "/c")
+    left, right = (t.spark.table(n) for n in names)
     return left.join(right, left.o_custkey == right.c_custkey).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 

@@ -20,6 +20,9 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", partiti
     writer.parquet(path)
 
 
-def write_bucketed(df: DataFrame, name: str, buckets: int, keys: list[str], sort_by: list[str] | None = None, mode: str = "overwrite") -> None:
-    """A table whose joins and aggregates on ``keys`` need no exchange."""
-    df.write.mode(mode).bucketBy(buckets, *keys).sortBy(*(sort_by or keys)).saveAsTable(name)
+def write_bucketed(df: DataFrame, name: str, buckets: int, keys: list[str], sort_by: list[str] | None = None, mode: str = "overwrite", path: str | None = None) -> None:
+    """A table whose joins and aggregates on ``keys`` need no exchange; with ``path``, its files are there and not in the warehouse."""
+    writer = df.write.mode(mode).bucketBy(buckets, *keys).sortBy(*(sort_by or keys))
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
