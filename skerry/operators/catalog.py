@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skerry.functions.transforms import bucket
 from skerry.operators import joins, relational, windows
 from skerry.plans import rewrites
 from skerry.sources.lakehouse import Clause, SnapshotTable, merge_rows
@@ -533,3 +534,13 @@ for _name, _text in _TPCH.items():
 @query("event_tumbling_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(t):
     return t.events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+@query("transform_bucket")
+def _(t):
+    return t.orders.select("o_orderkey", bucket(16, F.col("o_orderkey")).alias("b"), bucket(16, F.col("o_orderpriority")).alias("s"))
+
+
+@query("event_session_windows")
+def _(t):
+    return t.events.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
