@@ -28,11 +28,11 @@ TEXTS = 1 << 30
 _FLUSH = 2 << 20
 
 
-def squeeze(*arrays: np.ndarray) -> bytes:
+def squeeze(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed blob: their types and lengths, then their bytes."""
     head = np.array([x for a in arrays for x in (ord(a.dtype.kind), a.dtype.itemsize, len(a))], "<i8")
     body = b"".join([np.int64(len(arrays)).tobytes(), head.tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]])
-    return zstandard.ZstdCompressor(level=1).compress(body)
+    return zstandard.ZstdCompressor(level=level).compress(body)
 
 
 def expand(blob: bytes) -> list[np.ndarray]:
@@ -72,7 +72,7 @@ def text_blobs(chunked: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(chunk, parts):
-            blob = squeeze(*[np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]))])
+            blob = squeeze(*[np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]))], level=3)
             return pa.record_batch([pa.array([chunk], pa.int64()), pa.array([TEXTS], pa.int32()), pa.array([blob], pa.binary())], names=["chunk", "kind", "blob"])
 
         now, held, size = None, [], 0

@@ -23,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm._chunks import ROWS, TEXTS, expand, grouped, runs, squeeze, text_blobs, texts_of, with_chunks
+from skerry.llm._chunks import ROWS, TEXTS, expand, grouped, portions, release, runs, squeeze, text_blobs, texts_of, to_buckets, with_chunks
 from skerry.llm._shared import partitions
+from skerry.llm._text import flat
+from skerry.llm.interpolation import word_hashes
 
 SLOTS = 1 << 14
 #: Bytes of a word that the fold handles; its cost grows with the square of the length. Longer words are merged with a heap.
@@ -123,9 +125,77 @@ def merged_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def _word_blob(words: list[str]) -> bytes:
-    raw = [w.encode() for w in words]
-    return squeeze(np.array([len(w) for w in raw], "<u4"), np.frombuffer(b"".join(raw), "u1"))
+# Classes of bytes in texts of ASCII and Latin letters: white space, letters, digits, all else.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = 0
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+_CLASS[0x30:0x3A] = 2
+#: First bytes of characters that are not all letters; texts with any of them are split by the pattern itself.
+_FOREIGN = np.zeros(256, bool)
+_FOREIGN[[0xC2, *range(0xC9, 0x100)]] = True
+_SAME = np.arange(256, dtype=np.uint8)
+
+
+def token_starts(data: np.ndarray, offsets: np.ndarray, split) -> np.ndarray:
+    """Where the pattern's matches start. Matches leave no gaps, so these are all bounds there are.
+
+    For Latin texts the pattern comes down to neighbouring bytes: a match starts where the class changes, the last white
+    space before a word starts the word's match if it is a space and is a match of its own if not, and an apostrophe that
+    starts a match takes the ending of a contraction.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    head = np.zeros(n + 1, bool)
+    head[offsets[:-1]] = True
+    head[n] = True
+    kind = _CLASS[data]
+    before = np.empty(n, np.uint8)
+    before[1:] = kind[:-1]
+    before[0] = 0
+    after = np.empty(n, np.uint8)
+    after[:-1] = kind[1:]
+    after[-1] = 0
+    after[head[1:]] = 0  # nothing follows the last byte of a text
+    blank = kind == 0
+    spaced = np.zeros(n, bool)
+    spaced[1:] = data[:-1] == 0x20
+    start = np.where(blank, (before != 0) | (after != 0), ((before != 0) & (before != kind)) | ((before == 0) & ~spaced))
+    start |= head[:-1]
+    at = np.flatnonzero((data == 0x27) & start)
+    if len(at):
+        padded = np.concatenate([data, np.zeros(2, np.uint8)])
+        one, two = padded[at + 1], padded[at + 2]
+        same1, same2 = ~head[np.minimum(at + 1, n)], ~head[np.minimum(at + 1, n)] & ~head[np.minimum(at + 2, n)]
+        short = same1 & np.isin(one, list(b"stmd"))
+        long = same2 & (((one == 0x72) & (two == 0x65)) | ((one == 0x76) & (two == 0x65)) | ((one == 0x6C) & (two == 0x6C)))
+        for hit, size in ((short, 2), (long & ~short, 3)):
+            q = at[hit]
+            start[q + 1] = False
+            end = q + size
+            start[end[end < n]] = True
+    odd = _FOREIGN[data]
+    odd[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    strange = np.unique(np.searchsorted(offsets, np.flatnonzero(odd), side="right") - 1)
+    for d in strange:
+        a, b = int(offsets[d]), int(offsets[d + 1])
+        sizes = [len(w.encode()) for w in split(data[a:b].tobytes().decode())]
+        start[a:b] = False
+        start[a + np.cumsum([0, *sizes])[:-1]] = True
+    return np.flatnonzero(start)
+
+
+def _tokens(data: np.ndarray, offsets: np.ndarray, split) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each match, and its 64-bit hash."""
+    starts = token_starts(data, offsets, split)
+    ends = np.append(starts[1:], len(data))
+    return starts, ends, word_hashes(data, starts, ends, _SAME)
+
+
+def _gather(values: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs ``values[begin : begin + count]``, one after the other."""
+    total = int(counts.sum())
+    return values[np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(total)]
 
 
 def _cut(lengths: np.ndarray, data: np.ndarray) -> list[bytes]:
@@ -134,68 +204,100 @@ def _cut(lengths: np.ndarray, data: np.ndarray) -> list[bytes]:
 
 
 def _words_of_chunks(chunked: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, chunk, blob): the distinct words of each chunk by bucket."""
+    """(bucket, chunk, blob): lengths and bytes of the distinct words of each chunk, in the order of their hashes, by ranges of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter()
 
-        def out(chunk: int, words: set[str]) -> pa.RecordBatch:
-            dealt: list[list[str]] = [[] for _ in range(buckets)]
-            for w in sorted(words):
-                dealt[zlib.crc32(w.encode()) % buckets].append(w)
-            some = [b for b in range(buckets) if dealt[b]]
-            return pa.record_batch([pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array([_word_blob(dealt[b]) for b in some], pa.binary())], names=["bucket", "chunk", "blob"])
-
-        now, words = None, set()
+        def out(chunk: int, held: list) -> Iterator[pa.RecordBatch]:
+            keys, first = np.unique(np.concatenate([h[0] for h in held]), return_index=True)
+            lengths = np.concatenate([h[1] for h in held])
+            begins = np.cumsum(lengths) - lengths
+            data = np.concatenate([h[2] for h in held])
+            lengths, begins = lengths[first], begins[first]
+            low, high = to_buckets(keys, buckets)
+            for b in range(buckets):
+                a, z = low[b], high[b]
+                if z > a:
+                    blob = squeeze(lengths[a:z].astype("<u4"), _gather(data, begins[a:z], lengths[a:z]))
+                    yield pa.record_batch([pa.array([b], pa.int32()), pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "chunk", "blob"])
+
+        now, held = None, []
         for batch in batches:
             for chunk, part in runs(batch):
-                if chunk != now and words:
-                    yield out(now, words)
-                    words = set()
+                if chunk != now and held:
+                    yield from out(now, held)
+                    held = []
+                    release()
                 now = chunk
-                for text in part.column(2).to_pylist():
-                    if text:
-                        words.update(split(text))
-        if words:
-            yield out(now, words)
+                data, offsets = flat(part.column(2))
+                for a, b in portions(offsets):
+                    piece = data[offsets[a] : offsets[b]]
+                    starts, ends, hashes = _tokens(piece, offsets[a : b + 1] - offsets[a], split)
+                    if len(starts):
+                        keys, first = np.unique(hashes, return_index=True)
+                        sizes = ends[first] - starts[first]
+                        held.append((keys, sizes, _gather(piece, starts[first], sizes)))
+        if held:
+            yield from out(now, held)
 
     return chunked.mapInArrow(run, "bucket int, chunk long, blob binary")
 
 
+def _merged(blobs: list[bytes]) -> bytes:
+    """The words of one chunk that came in several blobs, each once, in the order of their hashes."""
+    if len(blobs) == 1:
+        return blobs[0]
+    parts = [expand(b) for b in blobs]
+    lengths, data = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    ends = np.cumsum(lengths, dtype=np.int64)
+    _, first = np.unique(word_hashes(data, ends - lengths, ends, _SAME), return_index=True)
+    return squeeze(lengths[first], _gather(data, (ends - lengths)[first], lengths[first].astype(np.int64)))
+
+
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket: rows of its distinct words, then the chunks' blobs as they came."""
+    """Per bucket: rows of its distinct words, then each chunk's words."""
+    kinds = (pa.int32(), pa.int64(), pa.list_(pa.string()), pa.binary())
+
+    def row(*values) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=["bucket", "chunk", "words", "blob"])
+
     for (bucket,), rows in grouped(batches):
-        blobs = [(chunk, blob) for _, chunk, blob in rows]
+        by_chunk: dict[int, list[bytes]] = {}
         words: set[bytes] = set()
-        for _, blob in blobs:
+        for _, chunk, blob in rows:
+            by_chunk.setdefault(chunk, []).append(blob)
             words.update(_cut(*expand(blob)))
         some = [w.decode("latin-1") for w in sorted(words) if len(w) <= LONGEST]
+        del words
         for at in range(0, len(some), _WORDS_A_ROW):
-            yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([None], pa.int64()), pa.array([some[at : at + _WORDS_A_ROW]], pa.list_(pa.string())), pa.array([None], pa.binary())], names=["bucket", "chunk", "words", "blob"])
-        for chunk, blob in blobs:
-            yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([None], pa.list_(pa.string())), pa.array([blob], pa.binary())], names=["bucket", "chunk", "words", "blob"])
+            yield row(bucket, None, some[at : at + _WORDS_A_ROW], None)
+        for chunk, blobs in by_chunk.items():
+            yield row(bucket, chunk, None, _merged(blobs))
 
 
 def _answers(ranks: dict[bytes, int]):
+    kind = "<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, known = None, {}
         for batch in batches:
             for bucket, chunk, words, ids, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if bucket != now:
                     now, known = bucket, {}
+                    release()
                 if blob is None:
                     for w, i in zip(words, ids, strict=True):
-                        known[w.encode("latin-1")] = np.array(i, "<u4").tobytes()
+                        known[w.encode("latin-1")] = np.array(i, kind).tobytes()
                     continue
-                lengths, data = expand(blob)
-                found = [known.get(w) or np.array(merged_ids(w, ranks), "<u4").tobytes() for w in _cut(lengths, data)]
-                answer = squeeze(lengths, data, np.array([len(f) // 4 for f in found], "<u4"), np.frombuffer(b"".join(found), "<u4"))
+                found = [known.get(w) or np.array(merged_ids(w, ranks), kind).tobytes() for w in _cut(*expand(blob))]
+                answer = squeeze(np.array([len(f) for f in found], "<u4") // np.uint32(int(kind[2])), np.frombuffer(b"".join(found), kind), level=3)
                 yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([answer], pa.binary())], names=["chunk", "kind", "blob"])
 
     return run
 
 
-def encode(docs: DataFrame, ranks_file: str, key: str = "doc_id", text: str = "text", rows: int = ROWS) -> DataFrame:
+def encode(docs: DataFrame, ranks_file: str, key: str = "doc_id", text: str = "text", rows: int = 2 * ROWS) -> DataFrame:
     """(key, ids binary, decoded binary) per row: ids as little-endian unsigned 32-bit integers, and their decoding.
 
     A null text is an empty one and has no ids. Repeated rows and null keys stay. Other columns are ignored. An empty
@@ -211,24 +313,42 @@ def encode(docs: DataFrame, ranks_file: str, key: str = "doc_id", text: str = "t
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter()
-        pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+        names = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
-            pieces[rank] = piece
+            names[rank] = piece
+        sizes = np.array([len(x) for x in names], np.int64)
+        places = np.cumsum(sizes) - sizes
+        pieces = np.frombuffer(b"".join(names), np.uint8)
         for _, rows_ in grouped(batches):
-            known: dict[str, tuple[bytes, bytes]] = {}
+            answers_, texts = [], []
             for _, kind, blob in rows_:
-                if kind != TEXTS:
-                    lengths, data, counts, ids = expand(blob)
-                    coded_ = _cut(counts.astype(np.int64) * 4, ids.view("u1"))
-                    for w, i in zip(_cut(lengths, data), coded_, strict=True):
-                        known[w.decode()] = i
-                    continue
-                keys, data, offsets = texts_of(blob)
-                for at in range(0, len(keys), 64):
-                    part = keys.slice(at, 64)
-                    ids = [b"".join(map(known.__getitem__, split(data[offsets[i] : offsets[i + 1]].tobytes().decode()))) for i in range(at, at + len(part))]
-                    decoded = [b"".join(map(pieces.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
-                    yield pa.record_batch([part, pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=[key, "ids", "decoded"])
+                if kind == TEXTS:
+                    texts.append(texts_of(blob))
+                else:
+                    answers_.append(expand(blob))
+            parts = []
+            for keys, data, offsets in texts:
+                for a, b in portions(offsets):
+                    own = offsets[a : b + 1] - offsets[a]
+                    starts, _, hashes = _tokens(data[offsets[a] : offsets[b]], own, split)
+                    distinct, of = np.unique(hashes, return_inverse=True)
+                    parts.append((keys.slice(a, b - a), np.searchsorted(starts, own), distinct, of.astype(np.int32)))
+            every = np.unique(np.concatenate([p[2] for p in parts]))
+            counts, all_ids = (np.concatenate([a[i] for a in answers_]).astype(np.int64) if answers_ else np.zeros(0, np.int64) for i in range(2))
+            if len(counts) != len(every):
+                raise RuntimeError("a chunk changed between two passes")
+            begins = np.cumsum(counts) - counts
+            del texts, answers_
+            for keys, first_token, distinct, of in parts:
+                at = np.searchsorted(every, distinct)[of]
+                n = counts[at]
+                ids = _gather(all_ids, begins[at], n)
+                first = np.concatenate([[0], np.cumsum(n)])[first_token]
+                ends = np.concatenate([[0], np.cumsum(sizes[ids])])[first]
+                raw, text_ = ids.astype("<u4").tobytes(), _gather(pieces, places[ids], sizes[ids]).tobytes()
+                coded_ = [raw[4 * x : 4 * y] for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                plain = [text_[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.record_batch([keys, pa.array(coded_, pa.binary()), pa.array(plain, pa.binary())], names=[key, "ids", "decoded"])
 
     met = answers.unionByName(text_blobs(chunked)).repartition(n, "chunk").sortWithinPartitions("chunk", "kind")
     return met.mapInArrow(build, f"`{key}` long, ids binary, decoded binary")

@@ -32,3 +32,20 @@ def test_fold_and_heap_agree(spark):
     df = spark.createDataFrame([(w,) for w in words], "w string").select("w", bpe.word_ids(F.col("w"), ranks).alias("ids"))
     for r in df.collect():
         assert r.ids == bpe.merged_ids(r.w.encode("latin-1"), ranks)
+
+
+def test_vector_bounds_equal_the_pattern():
+    rng = np.random.default_rng(9)
+    alphabet = list("ab é'sretvlmdZ09 \n\t  !?_") + ["'s", "'re", "'ll", " 'd", "  "]
+    split = bpe.splitter()
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 40))) for _ in range(3000)] + ["×a", "a÷b²", "'", "'r", "a'"]
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0] + [len(x) for x in raw])
+    starts = bpe.token_starts(np.frombuffer(b"".join(raw), np.uint8), offsets, split).tolist()
+    want = []
+    for base, t in zip(offsets, texts):
+        at = int(base)
+        for w in split(t):
+            want.append(at)
+            at += len(w.encode())
+    assert starts == want
