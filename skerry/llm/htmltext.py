@@ -59,10 +59,8 @@ def _boilerplate(tag: str, attributes: str, inside: list[str]) -> bool:
         return not any(t in ARTICLE_TAGS for t in inside)
     if not attributes or tag in ("html", "body", *ARTICLE_TAGS):
         return False
-    for _, value in _ATTR.findall(attributes):
-        if BOILERPLATE_WORDS.intersection(_WORDS.findall(value.lower())):
-            return True
-    return False
+    own = {"header", "masthead"} if any(t in ARTICLE_TAGS for t in inside) else set()  # an article's own heading is part of it
+    return any(BOILERPLATE_WORDS.intersection(_WORDS.findall(value.lower())) - own for _, value in _ATTR.findall(attributes))
 
 
 def text_nodes(page: str) -> list[Node]:
