@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skerry.functions.transforms import bucket
 from skerry.operators import joins, relational, windows
 from skerry.plans import rewrites
+from skerry.sources.generated import GeneratedSource
 from skerry.sources.lakehouse import Clause, SnapshotTable, merge_rows
 from skerry.sources.sinks import write_bucketed, write_parquet
 from skerry.sources.tables import table
@@ -544,3 +545,34 @@ def _(t):
 @query("event_session_windows")
 def _(t):
     return t.events.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+
+
+@query("scan_unknown_source", "SELECT range AS id, (range * range) % 97 AS square FROM range(2500)")
+def _(t):
+    t.spark.dataSource.register(GeneratedSource)
+    return t.spark.read.format("skerry_generated").option("rows", "2500").option("partitions", "3").load()
+
+
+@query("scan_input_file_name", "SELECT count(*) AS n FROM region")
+def _(t):
+    return t.region.withColumn("f", F.input_file_name()).filter("f LIKE '%region.parquet'").agg(F.count("*").alias("n"))
+
+
+@query("scan_schema_merge", "SELECT n_nationkey, CASE WHEN n_nationkey >= 10 THEN n_name END AS n_name FROM nation")
+def _(t):
+    at = t.scratch()
+    t.nation.filter("n_nationkey < 10").select("n_nationkey").write.parquet(at + "/n/part=1")
+    t.nation.filter("n_nationkey >= 10").select("n_nationkey", "n_name").write.parquet(at + "/n/part=2")
+    return t.spark.read.option("mergeSchema", "true").parquet(at + "/n").select("n_nationkey", "n_name")
+
+
+@query("join_runtime_bloom_filter", "SELECT count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000")
+def _(t):
+    o = t.orders.filter("o_orderpriority = '1-URGENT' AND o_totalprice > 400000").select("o_orderkey").hint("merge")
+    return t.lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey")).agg(F.count("*").alias("n"))
+
+
+@query("aggregate_two_phase_salted", "SELECT l_returnflag, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1")
+def _(t):
+    salted = t.lineitem.groupBy("l_returnflag", F.pmod(F.xxhash64("l_orderkey"), F.lit(16)).alias("salt")).agg(F.sum("l_quantity").alias("q"))
+    return salted.groupBy("l_returnflag").agg(F.sum("q").cast("bigint").alias("q"))

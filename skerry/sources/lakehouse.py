@@ -62,6 +62,19 @@ class SnapshotTable:
         self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("errorifexists").json(f"{self.path}/manifests/{version:012d}")
         return version
 
+    def tag(self, name: str, version: int | None = None) -> int:
+        """Name a version (the latest by default); a name is given once."""
+        version = self.versions()[-1] if version is None else version
+        self.spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("errorifexists").json(f"{self.path}/tags/{name}")
+        return version
+
+    def tagged(self, name: str) -> int:
+        return self.spark.read.schema("version long").json(f"{self.path}/tags/{name}").first().version
+
+    def rollback(self, version: int) -> int:
+        """A new version that is an old one again."""
+        return self._commit(self.manifest(version))
+
     def _write(self, df: DataFrame, kind: str) -> list[str]:
         at = f"{self.path}/{kind}/{uuid.uuid4().hex}"
         df.write.parquet(at)

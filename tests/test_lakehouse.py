@@ -32,6 +32,16 @@ def test_versions_and_deletes(spark, tmp_path):
     assert rows(t.read(schema=wide)) == []
 
 
+def test_tags_and_rollback(spark, tmp_path):
+    t = SnapshotTable(spark, str(tmp_path / "t"))
+    t.append(spark.range(3).toDF("id"))
+    t.tag("good")
+    t.overwrite(spark.range(1).toDF("id"))
+    assert t.read().count() == 1 and t.read(t.tagged("good")).count() == 3
+    t.rollback(t.tagged("good"))
+    assert t.read().count() == 3
+
+
 def test_merge_clauses_in_order(spark):
     target = spark.createDataFrame([(1, 10), (2, 20), (3, 30), (None, 40)], "id int, v int")
     source = spark.createDataFrame([(1, 100), (2, None), (5, 500), (None, 600)], "id int, v int")
