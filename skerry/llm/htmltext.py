@@ -34,6 +34,8 @@ BOILERPLATE_WORDS = frozenset(
     "ad ads advert advertisement advertising banner sponsor sponsored promo sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments reply replies discussion respond disqus cookie cookies consent notice notices alert popup modal newsletter subscribe signup share sharing social related recommended widget toolbar complementary contentinfo search login".split()
 )
 ARTICLE_TAGS = ("article", "main")
+#: The id of the document itself: the element above all, also of a fragment without html or body.
+ROOT = 0
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
@@ -77,7 +79,7 @@ def text_nodes(page: str) -> list[Node]:
 
     def say(text: str) -> None:
         if text and not text.isspace():
-            nodes.append(Node(tuple(t for t in tags if t in BLOCK), tuple(i for t, i in zip(tags, ids, strict=True) if t in BLOCK), bool(drops and drops[-1]), block, text))
+            nodes.append(Node(("", *(t for t in tags if t in BLOCK)), (ROOT, *(i for t, i in zip(tags, ids, strict=True) if t in BLOCK)), bool(drops and drops[-1]), block, text))
         elif text:
             nodes.append(Node((), (), True, block, " "))
 
@@ -150,9 +152,9 @@ def content_paths(nodes: list[Node]) -> set[tuple[str, ...]]:
     return {path for path, value in zip(order, fused, strict=True) if value >= limit}
 
 
-def _article(nodes: list[Node], paths: set[tuple[str, ...]]) -> int:
+def _article(nodes: list[Node], paths: set[tuple[str, ...]]) -> int | None:
     """The element that holds the content: an article or main element with most of the content text, or else the smallest
-    element with nearly all of it."""
+    element with nearly all of it, at last the document. None if there is no content."""
     weight: dict[int, int] = {}
     marked: dict[int, int] = {}
     total = 0
@@ -167,7 +169,7 @@ def _article(nodes: list[Node], paths: set[tuple[str, ...]]) -> int:
                 marked[i] = weight[i]
     if marked:
         return max(marked, key=lambda i: (weight[i], i))
-    return max((i for i, w in weight.items() if w >= 0.9 * total), default=0)
+    return max((i for i, w in weight.items() if w >= 0.9 * total), default=None)
 
 
 def main_text(page: str | None) -> str:
@@ -176,7 +178,7 @@ def main_text(page: str | None) -> str:
         return ""
     nodes = text_nodes(page)
     within = _article(nodes, content_paths(nodes))
-    if not within:
+    if within is None:
         return ""
     blocks: dict[int, list[str]] = {}
     for node in nodes:

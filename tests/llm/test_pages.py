@@ -56,6 +56,12 @@ def test_main_text():
     assert "Head" in htmltext.plain_text(PAGE) and "var t" not in htmltext.plain_text(PAGE)
 
 
+def test_fragments_keep_all_blocks():
+    assert htmltext.main_text("<h1>T</h1><p>long one</p><p>long two</p>") == "T long one long two"
+    assert htmltext.main_text("Bare text, no tag.") == "Bare text, no tag."
+    assert htmltext.main_text("Bare, first.<p>Then a block.</p><nav>menu</nav>") == "Bare, first. Then a block."
+
+
 def test_extract_keeps_rows_and_columns(spark):
     df = spark.createDataFrame([(1, PAGE, "x"), (1, PAGE, "x"), (None, None, None)], "page_id long, html string, text string")
     out = htmltext.extract(df)
