@@ -139,6 +139,11 @@ def _(t):
     return relational.generate(t.embeddings.filter("vec_id < 20").select("vec_id", "embedding"), F.col("embedding"), position="pos").drop("embedding")
 
 
+@query("row_posexplode_whole", "SELECT vec_id, (unnest(range(len(embedding))))::INT AS pos, unnest(embedding) AS value FROM embeddings")
+def _(t):
+    return relational.generate(t.embeddings.select("vec_id", "embedding"), F.col("embedding"), position="pos").drop("embedding")
+
+
 @query("row_explode_outer", "SELECT p_partkey, CASE WHEN p_size > 10 THEN p_size END AS value FROM part")
 def _(t):
     return relational.generate(t.part.select("p_partkey", "p_size"), F.expr("filter(array(p_size), x -> x > 10)"), outer=True).drop("p_size")
@@ -225,6 +230,15 @@ for _strategy in ("broadcast", "shuffle_hash", "merge"):
 
         query(f"join_{_strategy}_{_how}", f"SELECT {_columns} FROM (SELECT * FROM orders WHERE o_orderkey % 3 = 0) o {_word} (SELECT * FROM customer WHERE c_custkey % 2 = 0) c ON o.o_custkey = c.c_custkey")(_run)
 
+        def _run(t, how=_how, strategy=_strategy, one=_one):
+            o = t.orders.select("o_orderkey", F.expr("CASE WHEN o_custkey % 3 <> 0 THEN o_custkey END AS k"))
+            c = t.customer.select("c_custkey")
+            df = joins.join(o, c, o.k == c.c_custkey, how, strategy)
+            return df.select("o_orderkey") if one else df.select("o_orderkey", "c_custkey")
+
+        # whole tables: a key expression leaves rows unmatched on both sides
+        query(f"join_{_strategy}_{_how}_whole", f"SELECT {_columns} FROM orders o {_word} customer c ON (CASE WHEN o.o_custkey % 3 <> 0 THEN o.o_custkey END) = c.c_custkey")(_run)
+
 
 @query("join_null_aware_anti", "SELECT p_partkey FROM part WHERE (CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size END) NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 20)")
 def _(t):
@@ -232,6 +246,12 @@ def _(t):
     return joins.null_aware_anti(part, t.supplier.filter("s_suppkey < 20"), "x", "s_suppkey").select("p_partkey")
 
 
+@query("join_null_aware_anti_whole", "SELECT p_partkey FROM part WHERE (CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_partkey END) NOT IN (SELECT s_suppkey FROM supplier)")
+def _(t):
+    part = t.part.select("p_partkey", F.expr("CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_partkey END AS x"))
+    return joins.null_aware_anti(part, t.supplier, "x", "s_suppkey").select("p_partkey")
+
+
 @query("join_existence", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000) AS found FROM customer")
 def _(t):
     return joins.existence(t.customer.select("c_custkey"), t.orders.filter("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
@@ -357,6 +377,13 @@ for _name, _word in _SET_OPERATIONS.items():
 
     query(f"set_{_name}", f"{_A} {_word} {_B}")(_run)
 
+    def _run(t, name=_name):
+        a = t.orders.select(F.expr("CASE WHEN o_custkey % 3 = 0 THEN -o_custkey ELSE o_custkey END AS k"))
+        b = t.customer.select(F.col("c_custkey").alias("k"))
+        return {"union_all": lambda: a.unionByName(b), "union_distinct": lambda: a.union(b).distinct(), "intersect": lambda: a.intersect(b), "except": lambda: a.subtract(b), "intersect_all": lambda: a.intersectAll(b), "except_all": lambda: a.exceptAll(b)}[name]()
+
+    query(f"set_{_name}_whole", f"SELECT CASE WHEN o_custkey % 3 = 0 THEN -o_custkey ELSE o_custkey END AS k FROM orders {_word} SELECT c_custkey AS k FROM customer")(_run)
+
 
 # exchanges
 
