@@ -53,7 +53,8 @@ def with_chunks(docs: DataFrame, key: str, text: str, rows: int = ROWS, carry: b
         docs.select("_metadata.row_index", "_metadata.file_path")
     except AnalysisException:
         docs = written(docs if carry else docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), "texts")
-    chunk = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / rows))
+    # the file's hash above, the range's number below: consecutive ranges are dealt to consecutive partitions
+    chunk = F.shiftleft(F.xxhash64(F.col("_metadata.file_path")), 24) + F.floor(F.col("_metadata.row_index") / rows) % (1 << 24)
     others = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])).alias("others")] if carry else []
     return docs.select(chunk.alias("chunk"), F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"), *others)
 
@@ -67,6 +68,12 @@ def runs(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
             yield int(chunk[low]), batch.slice(low, high - low)
 
 
+def dealt(df: DataFrame, n: int, column: str, *then: str) -> DataFrame:
+    """Rows of one number in ``column`` together, numbers dealt in turn over n partitions (a hash would give some several and
+    others none), sorted by ``column`` and ``then``."""
+    return df.repartitionById(n, F.pmod(F.col(column), F.lit(n)).cast("int")).sortWithinPartitions(column, *then)
+
+
 def text_blobs(chunked: DataFrame) -> DataFrame:
     """(chunk, kind, blob) with all texts and keys of ``chunked``, some megabytes a row."""
 

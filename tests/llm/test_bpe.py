@@ -49,3 +49,35 @@ def test_vector_bounds_equal_the_pattern():
             want.append(at)
             at += len(w.encode())
     assert starts == want
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_long_words_go_through_the_fold(spark):
+    """A Thue-Morse word and its complement (equal under any polynomial hash modulo 2^64), runs of one byte, and random words."""
+    rng = np.random.default_rng(5)
+    one = thue_morse(2048)
+    texts = [one, one.translate(str.maketrans("ab", "ba")), f"{one}\n{one.translate(str.maketrans('ab', 'ba'))}", " " * 30_001 + "x", "=" * 20_000, "ab" * 3000, "aab" * 2000 + "aaaa"]
+    texts += ["".join(rng.choice(list("etaoinshrdlué"), n)) for n in (64, 65, 97, 300, 2000)] + ["".join(rng.choice(list("ab"), 1500))]
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(FILE), special_tokens={})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.encode(docs, FILE).collect():
+        assert np.frombuffer(bytes(r.ids), "<u4").tolist() == library.encode_ordinary(texts[r.doc_id])
+        assert bytes(r.decoded).decode() == texts[r.doc_id]
+
+
+def test_both_folds_agree_with_the_heap_on_odd_vocabularies(spark, monkeypatch):
+    """Vocabularies in which joining a pair can make one of lower rank: the fold must still take the leftmost lowest pair."""
+    rng = np.random.default_rng(6)
+    for short in (64, 1):
+        monkeypatch.setattr(bpe, "SHORT", short)
+        for _ in range(4):
+            pieces = {"".join(rng.choice(list("abc"), rng.integers(2, 6))).encode() for _ in range(25)} - {b"a", b"b", b"c"}
+            order = rng.permutation(len(pieces) + 3)
+            ranks = {p: int(r) for p, r in zip([b"a", b"b", b"c", *sorted(pieces)], order, strict=True)}
+            words = ["".join(rng.choice(list("abc"), rng.integers(1, 60))) for _ in range(60)]
+            df = spark.createDataFrame([(w,) for w in words], "w string").select("w", bpe.word_ids(F.col("w"), ranks).alias("ids"))
+            for r in df.collect():
+                assert r.ids == bpe.merged_ids(r.w.encode(), ranks), (ranks, r.w)
