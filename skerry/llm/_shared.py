@@ -26,7 +26,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     at = f"{shared_folder(spark)}/skerry-tables/{uuid.uuid4().hex}-{name}"
     schema = df.schema
     df.write.parquet(at)
-    return spark.read.schema(schema).parquet(at)
+    table = spark.read.schema(schema).parquet(at)
+    table._written_at = at
+    return table
+
+
+def forget(table: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing will read again."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._written_at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

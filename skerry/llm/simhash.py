@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm._shared import partitions, written
+from skerry.llm._shared import forget, partitions, written
 from skerry.llm._text import flat, joined_words, xxh64
 
 WIDTHS = (11, 11, 11, 11, 10, 10)
@@ -212,11 +212,12 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return rows.select("k", "side", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches, by alternating large-star and small-star steps.
 
     A node's neighbours are never gathered: its smallest neighbour comes from a partial aggregate and goes back over a
-    join, which adaptive execution splits where a node has very many links. Unlinked nodes are not in the result.
+    join, which adaptive execution splits where a node has very many links. Unlinked nodes are not in the result. Rounds go on
+    until nothing changes; their number grows with the logarithm of the longest path.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -237,15 +238,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
     edges = written(links.filter(F.col("a") != F.col("b")).select("a", "b").distinct(), "links")
-    seen = print_of(edges)
-    for _ in range(rounds):
-        edges = written(star(star(edges, True), False), "links")
+    seen, now = None, print_of(edges)
+    while now != seen:
+        before, edges, seen = edges, written(star(star(edges, True), False), "links"), now
+        forget(before)
         now = print_of(edges)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -75,3 +75,16 @@ def test_near_duplicates_edge_rows(spark):
     assert by[0] == by[1] == 0 and by[9] == by[8] == 8
     assert simhash.keep_one(docs).columns == docs.columns
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    n = 3000
+    order = np.random.default_rng(3).permutation(n).tolist()
+    links = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)] + [(n + 5, n + 9), (n + 9, n + 5)], "a long, b long")
+    got = {r.node: r.root for r in simhash.components(links).collect()}
+    assert got == {i: 0 for i in range(1, n)} | {n + 9: n + 5}
+
+
+def test_very_long_text_has_the_defined_print():
+    text = " ".join(f"w{i * i % 7919}" for i in range(400_000))
+    assert int(simhash.fingerprints(pa.array([text]))[0]) == brute_print(text)
