@@ -21,9 +21,9 @@ STOP_WORDS = {
     "es": "el la los las de del que y en un una por con no para se su al lo como más o es".split(),
 }
 
-#: Low bits of a packed number that hold a word's place; the high bits hold part of its window's hash.
-_PLACE_BITS = 26
-_PLACE_MASK = (1 << _PLACE_BITS) - 1
+#: Low bits of a packed number that hold a word's place; the high bits hold part of its window's hash. An array in Spark has fewer
+#: than 2^31 elements, and both halves of a hash of 33 bits and more cover its 64 bits.
+PLACE_BITS = 31
 
 
 @dataclass(frozen=True)
@@ -64,19 +64,19 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part.cast("double") / whole.cast("double")).otherwise(F.lit(0.0))
 
 
-def _repeated(packed: Column) -> Column:
-    """The places in a sorted array of packed numbers whose high bits equal a neighbour's."""
-    high = lambda a, b: F.shiftrightunsigned(a.bitwiseXOR(b), _PLACE_BITS) == 0
+def _repeated(packed: Column, bits: int = 26) -> Column:
+    """The places (low ``bits``) in a sorted array of packed numbers whose high bits equal a neighbour's."""
+    high = lambda a, b: F.shiftrightunsigned(a.bitwiseXOR(b), bits) == 0
     found = F.filter(packed, lambda x, i: F.coalesce(high(x, F.get(packed, i + 1)), F.lit(False)) | F.coalesce(high(x, F.get(packed, i - 1)), F.lit(False)))
-    return F.transform(found, lambda x: x.bitwiseAND(F.lit(_PLACE_MASK)).cast("int"))
+    return F.transform(found, lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int"))
 
 
 def with_metrics(docs: DataFrame, text: str = "text", into: str = "quality") -> DataFrame:
     """``docs`` and a struct column ``into`` of the counts and ratios that rules may name.
 
     A null text counts as an empty one: no words, no lines with a word, every ratio 0. A column already called ``into``
-    is replaced; other columns are kept, because intermediate values live under one reserved prefix. Windows of three words are told apart by their 64-bit hashes; places in the packed sort
-    key have 26 bits, which a JVM array of words does not exceed.
+    is replaced; other columns are kept, because intermediate values live under one reserved prefix. Repeated rows are counted
+    each for itself, and an empty table gives an empty one. Windows of three words are told apart by their 64-bit hashes.
     """
     keep = [F.col(f"`{c}`") for c in docs.columns if c != into]
     p = "__quality_"
@@ -87,14 +87,14 @@ def with_metrics(docs: DataFrame, text: str = "text", into: str = "quality") ->
     windows = F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
     step = step.withColumn(f"{p}h", windows)
     # Only where a window is repeated are there sorts; from here on a null says that there is none.
-    packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~_PLACE_MASK)).bitwiseOR(i.cast("long"))))
+    packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(-1 << PLACE_BITS)).bitwiseOR(i.cast("long"))))
     step = step.withColumn(f"{p}high", F.when(F.size(F.array_distinct(h)) < F.size(h), packed))
-    step = step.withColumn(f"{p}a", F.when(high.isNotNull(), _repeated(high))).drop(f"{p}high")
+    step = step.withColumn(f"{p}a", F.when(high.isNotNull(), _repeated(high, PLACE_BITS))).drop(f"{p}high")
     step = step.withColumn(f"{p}full", F.when(a.isNotNull(), F.sort_array(F.transform(a, lambda i: F.get(h, i)))))
-    # Places found by the upper 38 bits are right if, by all 64 bits, each has an equal; else both halves of the hash must agree.
+    # Places found by the upper 33 bits are right if, by all 64 bits, each has an equal; else both halves of the hash must agree.
     paired = F.size(F.filter(full, lambda x, i: F.coalesce(x == F.get(full, i + 1), F.lit(False)) | F.coalesce(x == F.get(full, i - 1), F.lit(False)))) == F.size(full)
-    low = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, _PLACE_BITS).bitwiseOR(i.cast("long"))))
-    both = F.transform(F.array(low), lambda one: F.array_intersect(a, _repeated(one)))
+    low = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, PLACE_BITS).bitwiseOR(i.cast("long"))))
+    both = F.transform(F.array(low), lambda one: F.array_intersect(a, _repeated(one, PLACE_BITS)))
     step = step.withColumn(f"{p}at", F.when(a.isNotNull(), F.sort_array(F.when(paired, a).otherwise(F.get(both, 0))))).drop(f"{p}h", f"{p}a", f"{p}full")
     step = step.withColumn(f"{p}lines", F.filter(F.split(text_, "\n"), lambda x: F.length(F.trim(x, F.lit(SEPARATORS))) > 0))
     covered = F.aggregate(F.transform(at, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - x, F.lit(3)))), F.lit(0), lambda s, x: s + x)

@@ -40,3 +40,20 @@ def test_hash_halves_settle_false_matches(spark):
 
     packed = spark.sql("SELECT array(1L, 2L, 67108865L, 134217729L, 134217730L) AS p").select(quality._repeated(F.col("p")).alias("r")).first()
     assert packed.r == [1, 2, 1, 2]
+
+
+def test_places_beyond_26_bits(spark):
+    from pyspark.sql import functions as F
+
+    far, hash_ = (1 << 30) + 5, 7 << quality.PLACE_BITS
+    packed = spark.createDataFrame([([hash_ | 3, hash_ | far, (8 << quality.PLACE_BITS) | 4],)], "p array<long>")
+    assert packed.select(quality._repeated(F.col("p"), quality.PLACE_BITS).alias("r")).first().r == [3, far]
+
+
+def test_repeated_rows_and_long_text(spark):
+    long = " ".join(f"w{i % 40_000}x" for i in range(120_000))
+    docs = spark.createDataFrame([(1, long, "a"), (1, long, "b"), (2, None, "c")], "doc_id long, text string, __quality string")
+    rows = quality.with_metrics(docs).select("doc_id", "__quality", "quality.*").collect()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert sorted((r.doc_id, *(r[n] for n in names)) for r in rows) == sorted([(1, *brute(long)), (1, *brute(long)), (2, *brute(None))])
+    assert quality.quality_filter(docs).columns == docs.columns
