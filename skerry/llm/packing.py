@@ -133,13 +133,17 @@ def best_fit_plan(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
 
 class Encoder:
     """Token ids by the ``tokenizers`` library's file. Texts of Latin letters go through ``tiktoken`` on the rank file of
-    the same vocabulary, which gives the same ids several times faster; all others through the library itself."""
+    the same vocabulary, which gives the same ids several times faster; all others through the library itself.
 
-    def __init__(self, file: str, ranks: str | None = None):
+    With ``added`` a text that spells out a token added to the vocabulary gets that token's id, as the library does by
+    default; without, the token's letters are encoded like any others."""
+
+    def __init__(self, file: str, ranks: str | None = None, added: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not added
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()] if added else []
         self.fast = None
         if ranks:
             import base64
@@ -152,7 +156,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is not None and (text.isascii() or max(text) < "ɐ"):
+        if self.fast is not None and (text.isascii() or max(text) < "ɐ") and not any(t in text for t in self.added):
             return np.array(self.fast.encode_ordinary(text), "<u4")
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
@@ -165,11 +169,11 @@ def pieces_of(total: int, capacity: int = CAPACITY) -> Iterator[tuple[int, int]]
         yield start, capacity
 
 
-def tokenised(docs: DataFrame, file: str, ranks: str | None, key: str, text: str, capacity: int) -> DataFrame:
+def tokenised(docs: DataFrame, file: str, ranks: str | None, key: str, text: str, capacity: int, added: bool = False) -> DataFrame:
     """(key, piece, start, length, ids_crc32, part, seq): ``seq`` numbers a task's pieces of one length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(file, ranks), TaskContext.get().partitionId()
+        encoder, part = Encoder(file, ranks, added), TaskContext.get().partitionId()
         used = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = []
@@ -186,14 +190,14 @@ def tokenised(docs: DataFrame, file: str, ranks: str | None, key: str, text: str
     return docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, file: str, ranks: str | None = None, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, file: str, ranks: str | None = None, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, added: bool = False) -> DataFrame:
     """(key, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every row.
 
     A null text is empty and is one piece of one token; repeated rows are packed as often as they come; rows with a null
-    key are packed too. Sequences are filled from offset 0 without gaps. An empty table gives an empty result.
+    key are packed too; ``added`` is that of ``Encoder``; other columns are ignored. Sequences are filled from offset 0 without gaps. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    pieces = written(tokenised(docs, file, ranks, key, text, capacity), "pieces")
+    pieces = written(tokenised(docs, file, ranks, key, text, capacity, added), "pieces")
     per_part = written(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     counts = np.zeros(capacity + 1, np.int64)
     for row in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect():  # one row per length: at most ``capacity``
@@ -212,7 +216,8 @@ def pack(docs: DataFrame, file: str, ranks: str | None = None, key: str = "doc_i
     span = int(counts.max(initial=0)) + 1
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    ranked = pieces.join(offsets, ["part", "length"]).select("key", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("seq")).alias("rank"))
+    # a row per task and length: it grows with the input, so it is never broadcast
+    ranked = pieces.join(offsets.hint("merge"), ["part", "length"]).select("key", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("seq")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = places.value

@@ -32,7 +32,7 @@ def _vocabulary(name: str) -> str:
 
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents").select("doc_id", "text")
-    return packing.pack(docs, _vocabulary("byte_bpe_50k.json"), _vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.pack(docs, _vocabulary("byte_bpe_50k.json"), _vocabulary("byte_bpe_50k.tiktoken"), added=True)
 
 
 def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:

@@ -67,3 +67,14 @@ def test_pack_round_trip(spark):
         filled[r.sequence_id] = r.offset + r.length
     assert max(filled.values()) <= 2048
     assert packing.pack(docs.limit(0), file).count() == 0
+
+
+def test_added_tokens_as_the_library_has_them(spark):
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["plain", "a <|endoftext|> b", "<|endoftext|>", "<|endof text|>", "é <|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    library = Tokenizer.from_file(file)
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(docs, file, public_tokenizers.path("byte_bpe_50k.tiktoken"), added=True).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array(library.encode(t, add_special_tokens=False).ids + [0], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes())), t
