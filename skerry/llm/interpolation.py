@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm._chunks import ROWS, TEXTS, expand, grouped, release, runs, squeeze, text_blobs, texts_of, to_buckets, with_chunks
+from skerry.llm._chunks import ROWS, TEXTS, dealt, expand, grouped, release, runs, squeeze, text_blobs, texts_of, to_buckets, with_chunks
 from skerry.llm._shared import partitions, written
 from skerry.llm._text import LOWER, flat, word_bounds
 
@@ -282,7 +282,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int =
     # The deleted part has chunks of its own, so that learning the weights reads only its texts.
     others = with_chunks(docs, key, text, rows).filter(fold != 1)
     part = with_chunks(docs, key, text, rows * 8).filter(fold == 1).withColumn("chunk", F.xxhash64("chunk", F.lit(1)))
-    grams = _grams(others, n).unionByName(_grams(part, n)).repartition(n, "bucket").sortWithinPartitions("bucket", "chunk")
+    grams = dealt(_grams(others, n).unionByName(_grams(part, n)), n, "bucket", "chunk")
     table = written(_totals(grams), "ngram-totals")
     n_est, n_hold, v_est, v_all = (int(x or 0) for x in table.agg(*[F.sum(c) for c in ("n_est", "n_hold", "v_est", "v_all")]).first())
     answers = table.filter("chunk IS NOT NULL").select("chunk", "kind", "blob")
@@ -298,7 +298,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int =
                 yield pa.record_batch([pa.array([squeeze(*columns)], pa.binary())], names=["blob"])
 
     learned = part.select("chunk").distinct()
-    met = answers.join(learned, "chunk", "left_semi").unionByName(text_blobs(part)).repartition(n, "chunk").sortWithinPartitions("chunk", "kind")
+    met = dealt(answers.join(learned, "chunk", "left_semi").unionByName(text_blobs(part)), n, "chunk", "kind")
     items = written(met.mapInArrow(deleted, "blob binary"), "deleted-items")
     weights = learn_weights(items, 1.0 / (v_est + 1))
     total = n_est + n_hold
@@ -315,5 +315,5 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int =
             columns = [tokens.fold == 0, tokens.counts, by_text((word > 0).astype(np.int64)), np.full(len(names), total), by_text(base), by_text(np.log10(mixed))]
             yield pa.record_batch([names, *[pa.array(c) for c in columns]], names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    met = answers.unionByName(text_blobs(others)).unionByName(text_blobs(part)).repartition(n, "chunk").sortWithinPartitions("chunk", "kind")
+    met = dealt(answers.unionByName(text_blobs(others)).unionByName(text_blobs(part)), n, "chunk", "kind")
     return met.mapInArrow(judge, f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

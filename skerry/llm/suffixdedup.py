@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm._chunks import ROWS, TEXTS, expand, grouped, others_of, portions, release, runs, squeeze, text_blobs, texts_of, to_buckets, with_chunks
+from skerry.llm._chunks import ROWS, TEXTS, dealt, expand, grouped, others_of, portions, release, runs, squeeze, text_blobs, texts_of, to_buckets, with_chunks
 from skerry.llm._shared import partitions, written
 from skerry.llm._text import flat
 
@@ -417,13 +417,13 @@ def _removal(docs: DataFrame, key: str, text: str, rows: int, carry: bool) -> Da
     n = partitions(docs.sparkSession)
     chunked = with_chunks(docs, key, text, rows, carry)
     plain = chunked.select("chunk", "key", "text")
-    anchors = _anchors(plain, n).repartition(n, "bucket").sortWithinPartitions("bucket", "chunk")
+    anchors = dealt(_anchors(plain, n), n, "bucket", "chunk")
     flags = written(anchors.mapInArrow(_shared_anchors, "chunk long, kind int, blob binary"), "shared-anchors")
-    met = flags.unionByName(text_blobs(plain)).repartition(n, "chunk").sortWithinPartitions("chunk", "kind")
+    met = dealt(flags.unionByName(text_blobs(plain)), n, "chunk", "kind")
     candidates = met.mapInArrow(_candidates(n), "bucket int, chunk long, blob binary")
-    candidates = candidates.repartition(n, "bucket").sortWithinPartitions("bucket", "chunk")
+    candidates = dealt(candidates, n, "bucket", "chunk")
     masks = written(candidates.mapInArrow(_sorted_buckets, "chunk long, kind int, blob binary"), "earlier-windows")
-    met = flags.unionByName(masks).unionByName(text_blobs(chunked)).repartition(n, "chunk").sortWithinPartitions("chunk", "kind")
+    met = dealt(flags.unionByName(masks).unionByName(text_blobs(chunked)), n, "chunk", "kind")
     schema = "others string, kept string" if carry else f"`{key}` long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary"
     return met.mapInArrow(_cover(key, carry), schema)
 
