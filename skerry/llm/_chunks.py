@@ -47,7 +47,7 @@ def expand(blob: bytes) -> list[np.ndarray]:
 
 
 def with_chunks(docs: DataFrame, key: str, text: str, rows: int = ROWS, carry: bool = False) -> DataFrame:
-    """(chunk long, key long, text string), and with ``carry`` a string of all other columns. Rows that do not come straight from files are written to the shared folder
+    """(chunk long, key long, text string), and with ``carry`` all other columns as other0, other1 and so on. Rows that do not come straight from files are written to the shared folder
     first, so that their place never changes."""
     try:
         docs.select("_metadata.row_index", "_metadata.file_path")
@@ -55,7 +55,7 @@ def with_chunks(docs: DataFrame, key: str, text: str, rows: int = ROWS, carry: b
         docs = written(docs if carry else docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), "texts")
     # the file's hash above, the range's number below: consecutive ranges are dealt to consecutive partitions
     chunk = F.shiftleft(F.xxhash64(F.col("_metadata.file_path")), 24) + F.floor(F.col("_metadata.row_index") / rows) % (1 << 24)
-    others = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])).alias("others")] if carry else []
+    others = [F.col(f"`{c}`").alias(f"other{i}") for i, c in enumerate(c for c in docs.columns if c != text)] if carry else []
     return docs.select(chunk.alias("chunk"), F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"), *others)
 
 
@@ -86,7 +86,6 @@ def text_blobs(chunked: DataFrame) -> DataFrame:
         for batch in batches:
             for chunk, part in runs(batch):
                 data, offsets = flat(part.column(2))
-                others, places = flat(part.column(3)) if part.num_columns > 3 else (None, None)
                 valid = part.column(1).is_valid().to_numpy(zero_copy_only=False).astype("u1")
                 keys = part.column(1).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
                 for a, b in portions(offsets, _FLUSH):
@@ -95,8 +94,13 @@ def text_blobs(chunked: DataFrame) -> DataFrame:
                         held, size = [], 0
                     now = chunk
                     row = [keys[a:b], valid[a:b], np.diff(offsets[a : b + 1]).astype("<i8"), data[offsets[a] : offsets[b]].copy()]
-                    if others is not None:
-                        row += [np.diff(places[a : b + 1]).astype("<i8"), others[places[a] : places[b]].copy()]
+                    if part.num_columns > 3:
+                        sink = pa.BufferOutputStream()
+                        others = pa.record_batch(part.columns[3:], names=part.schema.names[3:]).slice(a, b - a)
+                        with pa.ipc.new_stream(sink, others.schema) as stream:
+                            stream.write_batch(others)
+                        carried = np.frombuffer(sink.getvalue(), np.uint8)
+                        row += [np.array([len(carried)], "<i8"), carried]
                     held.append(row)
                     size += int(offsets[b] - offsets[a])
         if held:
@@ -131,11 +135,12 @@ def texts_of(blob: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return pa.array(keys, mask=valid == 0), data, offsets
 
 
-def others_of(blob: bytes) -> list[str]:
+def others_of(blob: bytes) -> pa.RecordBatch:
     """The carried columns of a text blob's rows."""
     sizes, data = expand(blob)[4:6]
-    whole, edges = data.tobytes(), np.concatenate([[0], np.cumsum(sizes)]).tolist()
-    return [whole[a:b].decode() for a, b in zip(edges, edges[1:], strict=False)]
+    edges = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    tables = [pa.ipc.open_stream(pa.py_buffer(data[a:b])).read_all() for a, b in zip(edges, edges[1:], strict=False)]
+    return pa.concat_tables(tables).combine_chunks().to_batches()[0]
 
 
 def grouped(batches: Iterator[pa.RecordBatch], columns: int = 1) -> Iterator[tuple[tuple, Iterator[tuple]]]:

@@ -8,11 +8,12 @@ in one place is not possible; all suffixes that could be equal over 50 bytes are
 2. For anchors that remain, chunks send the stretch of text whose windows they name, each distinct stretch once, with
    the smallest key that has it. So a passage in a third of all documents is one stretch per chunk.
 3. A bucket sorts the suffixes that start in its stretches: multikey quicksort on 8-byte characters to a depth of 16
-   bytes, then blind tries for groups with longer common prefixes, which look at branching positions only. Runs with a common
-   prefix of 50 bytes get their smallest key, and every stretch learns which of its windows are earlier elsewhere.
+   bytes, then blind tries for groups with longer common prefixes. Runs with a common prefix of 50 bytes get their smallest
+   key, and every stretch learns which of its windows are earlier elsewhere.
 4. Chunks mark the covered bytes of their documents.
 
-Strings are judged on the input, all positions of all texts take part, and the work follows the number of bytes.
+Strings are judged on the input, all positions of all texts take part, and the work follows the number of bytes. Hashes only
+choose what is compared: bytes go because they are equal to earlier bytes, never because hashes are.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from skerry.llm._chunks import ROWS, TEXTS, dealt, expand, grouped, others_of, portions, release, runs, squeeze, text_blobs, texts_of, to_buckets, with_chunks
 from skerry.llm._shared import partitions, written
@@ -109,71 +110,80 @@ def _stretches_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int,
         yield a, int(base), Stretches(data[base : offsets[b]], offsets[a : b + 1] - base)
 
 
+def _multikey_quicksort(words: np.ndarray, starts: np.ndarray, places: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the suffixes by their characters at ``places``, and where groups that are equal there begin and how many they are.
+
+    All groups of one depth are partitioned at once, each by its own next character; only those that are equal in it go one
+    character deeper, so a suffix is read no further than it takes to tell it from the others.
+    """
+    order, low, size = np.arange(len(starts)), np.zeros(min(1, len(starts)), np.int64), np.full(min(1, len(starts)), len(starts))
+    for place in places:
+        many = size > 1
+        low, size = low[many], size[many]
+        if not len(low):
+            break
+        group = np.repeat(np.arange(len(low)), size)
+        slot = np.arange(len(group)) + np.repeat(low - (np.cumsum(size) - size), size)
+        character = words[starts[order[slot]] + place].astype(np.uint64)
+        by = np.argsort(character) if len(low) == 1 else np.lexsort((character, group))
+        order[slot] = order[slot][by]
+        character = character[by]
+        heads = np.flatnonzero(np.concatenate([[True], (character[1:] != character[:-1]) | (group[1:] != group[:-1])]))
+        low, size = slot[heads], np.diff(np.append(heads, len(slot)))
+    return order, low, size
+
+
+def _blind_tries(words: np.ndarray, starts: np.ndarray, places: list[int], order: np.ndarray, low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Put the members of each group (``size`` of them from ``order[low]`` on) in order, and return the places in the order whose
+    suffix equals the one before.
+
+    A group's trie is built along the path of its first member: every other member leaves that path at its first character
+    that differs, and only that character is kept, as a blind trie does. Read in order, a path has first the branches with
+    smaller characters from the top down, then the members equal to it, then those with greater characters from the bottom
+    up. Members that leave at one place by one character are a trie of their own and go on below it.
+    """
+    equal, depth = [np.zeros(0, np.int64)], np.zeros(len(low), np.int64)
+    end = len(places)
+    while (many := size > 1).any():
+        low, size, depth = low[many], size[many], depth[many]
+        group = np.repeat(np.arange(len(low)), size)
+        first = np.cumsum(size) - size
+        slot = np.arange(len(group)) + np.repeat(low - first, size)
+        start = starts[order[slot]]
+        leaves, branch, greater = np.full(len(group), end), np.zeros(len(group), np.uint64), np.zeros(len(group), bool)
+        for j in range(end - 1, int(depth.min()) - 1, -1):
+            character = words[start + places[j]].astype(np.uint64)
+            path = character[first][group]
+            differs = np.flatnonzero(character != path)
+            leaves[differs], branch[differs], greater[differs] = j, character[differs], character[differs] > path[differs]
+        # per group: smaller branches by depth, the path itself at ``end``, greater ones by depth upwards
+        turn = group * (2 * end + 2) + np.where(greater, 2 * end - leaves, leaves)
+        by = np.lexsort((branch, turn))
+        order[slot] = order[slot][by]
+        turn, branch, leaves = turn[by], branch[by], leaves[by]
+        heads = np.flatnonzero(np.concatenate([[True], (turn[1:] != turn[:-1]) | (branch[1:] != branch[:-1])]))
+        on_path = leaves == end
+        again = on_path.copy()
+        again[heads] = False
+        equal.append(slot[again])
+        size = np.diff(np.append(heads, len(slot)))
+        size[on_path[heads]] = 1
+        low, depth = slot[heads], leaves[heads] + 1
+    return np.concatenate(equal)
+
+
 def deep_shallow(text: np.ndarray, starts: np.ndarray, length: int = WINDOW, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """The order of the suffixes at ``starts`` by their first ``length`` bytes, and for each place in the order whether the
-    suffix there equals the one before it over that length. Every suffix has ``length`` bytes; ``length`` is 16 at least."""
+    suffix there equals the one before it over that length. Every suffix has ``length`` bytes; ``length`` is 16 at least. A
+    character is 8 bytes."""
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     words = np.ndarray((len(text) + 1,), dtype=">u8", buffer=padded, strides=(1,))
     places = [*range(0, length - 7, 8)]
     if places[-1] != length - 8:
         places.append(length - 8)  # the last 8 bytes, overlapping the ones before
-    flat_from = shallow // 8
-    n = len(starts)
-    order = np.arange(n)
-    same = np.zeros(n, bool)
-    if not n:
-        return order, same
-    # Multikey quicksort: each pass orders groups that are still equal by their next character.
-    chars = [words[starts + p].astype(np.uint64) for p in places[:flat_from]]
-    order = np.lexsort(chars[::-1])
-    fresh = np.zeros(n, bool)
-    fresh[0] = True
-    for c in chars:
-        sorted_ = c[order]
-        fresh[1:] |= sorted_[1:] != sorted_[:-1]
-    del chars
-    # Blind tries, level by level: a group skips to the first character at which its members branch and is ordered by it.
-    heads = np.flatnonzero(fresh)
-    sizes = np.diff(np.append(heads, n))
-    many = sizes > 1
-    low, size = heads[many], sizes[many]
-    done = []
-    while len(low):
-        offset = np.zeros(len(low) + 1, np.int64)
-        np.cumsum(size, out=offset[1:])
-        group = np.repeat(np.arange(len(low)), size)
-        slot = low[group] + np.arange(len(group)) - offset[:-1][group]
-        member = order[slot]
-        branch = np.full(len(low), len(places), np.int64)
-        for j in range(len(places) - 1, flat_from - 1, -1):
-            c = words[starts[member] + places[j]]
-            differs = np.logical_or.reduceat(c != c[offset[:-1]][group], offset[:-1])
-            branch[differs] = j
-        leaf = branch == len(places)
-        if leaf.any():
-            equal = slot[leaf[group]]
-            first = offset[:-1][leaf]
-            mask = np.ones(len(group), bool)
-            mask[first] = False
-            done.append(slot[leaf[group] & mask])
-            del equal
-        if leaf.all():
-            break
-        keep = ~leaf[group]
-        slot, member, group = slot[keep], member[keep], group[keep]
-        place = np.array(places)[branch[group]]
-        c = words[starts[member] + place].astype(np.uint64)
-        by = np.lexsort((c, group))
-        order[slot] = member[by]
-        c, g = c[by], group[by]
-        new = np.ones(len(by), bool)
-        new[1:] = (c[1:] != c[:-1]) | (g[1:] != g[:-1])
-        heads = np.flatnonzero(new)
-        sizes = np.diff(np.append(heads, len(by)))
-        many = sizes > 1
-        low, size = slot[heads[many]], sizes[many]
-    for slot in done:
-        same[slot] = True
+    order, low, size = _multikey_quicksort(words, starts, places[: shallow // 8])
+    same = np.zeros(len(starts), bool)
+    same[_blind_tries(words, starts, places[shallow // 8 :], order, low, size)] = True
     return order, same
 
 
@@ -295,11 +305,28 @@ class _Chunk:
         same = np.zeros(len(order), bool)
         a, h, n = self.anchor[order], self.hash[order], self.length[order]
         same[1:] = (a[1:] == a[:-1]) & (h[1:] == h[:-1]) & (n[1:] == n[:-1])
+        at = np.flatnonzero(same)
+        same[at] = self._equal(order[at - 1], order[at])
         self.heads = order[~same]  # of each distinct stretch, the occurrence with the smallest key
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(~same) - 1
 
 
+    def _equal(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the stretches x and y, of equal lengths, have the same bytes, compared 8 at a time."""
+        if not len(x):
+            return np.zeros(0, bool)
+        base = np.concatenate([[0], np.cumsum([len(p[1]) for p in self.parts])])
+        text = np.concatenate([*[p[1] for p in self.parts], np.zeros(8, np.uint8)])
+        words = np.ndarray((len(text) - 7,), dtype="<u8", buffer=text, strides=(1,))
+        one, two = (self.low[i] + base[self.part[i]] for i in (x, y))
+        last, same = self.length[x] - 8, np.ones(len(x), bool)
+        for at in range(0, int(last.max()) + 8, 8):
+            step = np.minimum(at, last)
+            same &= words[one + step] == words[two + step]
+        return same
+
+
 def _candidates(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (chunk_id,), rows in grouped(batches):
@@ -360,7 +387,10 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch], at_once: int = 60_000) ->
             yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([(1 << 24) + bucket], pa.int32()), pa.array([blob], pa.binary())], names=["chunk", "kind", "blob"])
 
 
-def _cover(key: str, carry: bool):
+def _cover(key: str, columns: list[str] | None = None, text: str = ""):
+    """The last pass. With ``columns``, rows of those come out, the others as they were carried and ``text`` without its repeats."""
+
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches):
             flags, masks, texts = [], [], []
@@ -376,7 +406,7 @@ def _cover(key: str, carry: bool):
             # a later occurrence of the same stretch has all of it in an earlier document
             bits = np.where(chunk.key > chunk.key[chunk.heads][chunk.of], np.uint32(0xFFFFFFFF), bits) if len(mask) else bits
             for p, (names, data, offsets) in enumerate(chunk.parts):
-                others = others_of(texts[p]) if carry else []
+                others = others_of(texts[p]) if columns else None
                 step = np.zeros(len(data) + 1, np.int32)
                 own = np.flatnonzero((chunk.part == p) & (bits != 0))
                 windows = chunk.length[own] - WINDOW + 1
@@ -402,8 +432,10 @@ def _cover(key: str, carry: bool):
                     lists = pa.ListArray.from_arrays(pa.array((first[a : b + 1] - first[a]).astype(np.int32)), pa.array(begins[first[a] : first[b]] - np.repeat(offsets[a:b], np.diff(first[a : b + 1]))))
                     stops = pa.ListArray.from_arrays(pa.array((first[a : b + 1] - first[a]).astype(np.int32)), pa.array(ends[first[a] : first[b]] - np.repeat(offsets[a:b], np.diff(first[a : b + 1]))))
                     kept = [data[offsets[i] : offsets[i + 1]][~gone[offsets[i] : offsets[i + 1]]].tobytes() for i in range(a, b)]
-                    if carry:
-                        yield pa.record_batch([pa.array(others[a:b], pa.string()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())], names=["others", "kept"])
+                    if columns:
+                        left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+                        rest = iter(others.slice(a, b - a).columns)
+                        yield pa.record_batch([left if c == text else next(rest) for c in columns], names=columns)
                         continue
                     yield pa.record_batch(
                         [names.slice(a, b - a), pa.array(np.diff(offsets[a : b + 1])), pa.array(np.diff(removed[offsets[a : b + 1]])), lists, stops, pa.array(kept, pa.binary())],
@@ -424,8 +456,9 @@ def _removal(docs: DataFrame, key: str, text: str, rows: int, carry: bool) -> Da
     candidates = dealt(candidates, n, "bucket", "chunk")
     masks = written(candidates.mapInArrow(_sorted_buckets, "chunk long, kind int, blob binary"), "earlier-windows")
     met = dealt(flags.unionByName(masks).unionByName(text_blobs(chunked)), n, "chunk", "kind")
-    schema = "others string, kept string" if carry else f"`{key}` long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary"
-    return met.mapInArrow(_cover(key, carry), schema)
+    if carry:
+        return met.mapInArrow(_cover(key, docs.columns, text), StructType([StructField(f.name, f.dataType) for f in docs.schema.fields]))
+    return met.mapInArrow(_cover(key), f"`{key}` long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = ROWS) -> DataFrame:
@@ -439,7 +472,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", row
 
 def dedup_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = ROWS) -> DataFrame:
     """All rows and columns of ``docs``, each text without its repeats. A character that a removed range cuts goes as a whole; a
-    null text becomes empty; a text that is all repeats is empty and its row stays."""
-    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text)
-    done = _removal(docs, key, text, rows, True).select(F.from_json("others", rest).alias("o"), "kept")
-    return done.select(*[F.col("kept").alias(text) if c == text else F.col(f"o.`{c}`") for c in docs.columns])
+    null text becomes empty; a text that is all repeats is empty and its row stays. Other columns travel in Arrow's own
+    format and come back as they were."""
+    return _removal(docs, key, text, rows, True)
