@@ -120,6 +120,80 @@ def near_pairs(fps: np.ndarray, until: np.ndarray, radius: int = RADIUS, after:
             yield q[k], b[k] * 64 + bit
 
 
+def wide_planes(bits: np.ndarray) -> np.ndarray:
+    """``_planes`` for fingerprints of several 64-bit words: row b, plane p is the word of bit p of the 64 members of block b."""
+    return np.concatenate([_planes(np.ascontiguousarray(bits[:, w])) for w in range(bits.shape[1])], axis=1)
+
+
+def _add(counters: list[np.ndarray], planes: list[np.ndarray]) -> None:
+    """Add eight one-bit planes to vertical counters: a tree of carry-save adders, whose carries go on from counter to counter."""
+
+    def save(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        half = a ^ b
+        return half ^ c, (a & b) | (half & c)
+
+    ones, carries = counters[0], planes
+    for level in range(3):
+        out = []
+        for i in range(0, len(carries), 2):
+            ones, up = save(ones, carries[i], carries[i + 1])
+            out.append(up)
+        counters[level], carries = ones, out
+        ones = counters[level + 1]
+    carry = carries[0]
+    for level in range(3, len(counters)):
+        counters[level], carry = counters[level] ^ carry, counters[level] & carry
+
+
+def _beyond(counters: list[np.ndarray], limit: np.ndarray) -> np.ndarray:
+    """Per lane, whether its counter is greater than ``limit``."""
+    ones = np.uint64(0xFFFFFFFFFFFFFFFF)
+    more, equal = np.zeros(len(limit), np.uint64), np.full(len(limit), ones)
+    for level in range(len(counters) - 1, -1, -1):
+        wanted = np.uint64(0) - ((limit >> level) & 1).astype(np.uint64)
+        more |= equal & counters[level] & ~wanted
+        equal &= ~(counters[level] ^ wanted)
+    return more
+
+
+def wide_pairs(bits: np.ndarray, until: np.ndarray, limit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j), i < j < until[i], whose fingerprints (rows of ``bits``) differ in at most ``limit[j]`` bits, and a few
+    that differ in more; ``limit`` grows with the index within ``until``. In bounded portions.
+
+    As in ``near_pairs`` 64 distances are added up at once, eight planes at a time, and a block is abandoned when all of them
+    have passed its largest limit.
+    """
+    n, width = len(bits), bits.shape[1] * 64
+    planes, low = wide_planes(bits), np.arange(1, n + 1)
+    ones = np.uint64(0xFFFFFFFFFFFFFFFF)
+    first = low // 64
+    spans = np.maximum(-(-until // 64) - first, 0) * (low < until)
+    begin = np.concatenate([[0], np.cumsum(spans)])
+    levels = max(width.bit_length(), 4)
+    for at in range(0, int(begin[-1]), 1 << 14):
+        pair = np.arange(at, min(at + (1 << 14), int(begin[-1])))
+        q = np.searchsorted(begin, pair, side="right") - 1
+        b = first[q] + (pair - begin[q])
+        lo, hi = np.clip(low[q] - b * 64, 0, 63).astype(np.uint64), np.clip(until[q] - b * 64, 0, 64)
+        outside = ~((ones << lo) & np.where(hi == 64, ones, (np.uint64(1) << np.minimum(hi, 63).astype(np.uint64)) - np.uint64(1)))
+        most = np.minimum(limit[np.minimum(until[q], (b + 1) * 64) - 1], width)
+        counters = [np.zeros(len(q), np.uint64) for _ in range(levels)]
+        for group in range(0, width, 8):
+            word = bits[q, group // 64]
+            _add(counters, [planes[b, p] ^ (np.uint64(0) - ((word >> np.uint64(p % 64)) & np.uint64(1))) for p in range(group, group + 8)])
+            if group % 32 == 24:
+                live = (_beyond(counters, most) | outside) != ones
+                if not live.all():
+                    q, b, outside, most = q[live], b[live], outside[live], most[live]
+                    counters = [c[live] for c in counters]
+                if not len(q):
+                    break
+        if len(q):
+            near = ~(_beyond(counters, most) | outside)
+            k, bit = np.nonzero(np.unpackbits(near.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            yield q[k], b[k] * 64 + bit
+
+
 def _union(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Join i and j: labels are indices of smaller members and end as roots."""
     while len(i):

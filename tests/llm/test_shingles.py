@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import test_pipeline
 import test_simhash
 
-from skerry.llm import shingles
+from skerry.llm import shingles, simhash
 
 
 def brute_set(text):
@@ -46,9 +47,8 @@ def test_keep_one_equals_brute_force(spark, monkeypatch):
     texts = planted()
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = brute_kept(texts)
-    for sample, often in ((16, 8), (1, 2)):
-        monkeypatch.setattr(shingles, "SAMPLE", sample)
-        monkeypatch.setattr(shingles, "OFTEN", often)
+    for slots in (1 << 18, 16):
+        monkeypatch.setattr(shingles, "SLOTS", slots)
         assert sorted(r.doc_id for r in shingles.keep_one(docs).collect()) == want
     assert shingles.keep_one(docs.limit(0)).count() == 0
 
@@ -58,3 +58,45 @@ def test_stage_takes_five_words_and_four_fifths(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     stage = dict(test_pipeline.corpus_pipeline.STAGES)["near_dedup"]
     assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == brute_kept(texts)
+
+
+def test_tiles_lose_no_pair(spark):
+    texts = planted()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = shingles.near_duplicates(docs, tile=4).filter("doc_id = component").collect()
+    assert sorted(r.doc_id for r in got) == brute_kept(texts)
+
+
+def test_wide_pairs_are_all_pairs_within_the_limit():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (5, 4), dtype=np.uint64)
+    bits = base[rng.integers(0, 5, 200)]
+    for i in range(200):
+        for p in set(rng.integers(0, 256, rng.integers(0, 60)).tolist()):
+            bits[i, p // 64] ^= np.uint64(1 << p % 64)
+    limit = np.sort(rng.integers(0, 60, 200))
+    until = np.minimum(np.arange(200) + rng.integers(1, 150, 200), 200)
+    got = {(int(i), int(j)) for a, b in simhash.wide_pairs(bits, until, limit) for i, j in zip(a, b, strict=True)}
+    differ = lambda i, j: int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+    want = {(i, j) for i in range(200) for j in range(i + 1, int(until[i])) if differ(i, j) <= limit[j]}
+    assert want <= got and all(i < j < until[i] and differ(i, j) <= limit[-1] for i, j in got) and want
+
+
+def test_folded_sketches_bound_the_difference():
+    rng = np.random.default_rng(7)
+    one, two = (np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64)) for _ in range(2))
+    two = np.unique(np.concatenate([one[:800], two[:100]]))
+    h, at = np.concatenate([one, two]), np.array([0, len(one), len(one) + len(two)])
+    small, large = (np.frombuffer(x, "<u8") for x in shingles._parities(h, at, np.array([1024, 4096])))
+    assert np.array_equal(shingles.folded(np.frombuffer(shingles._parities(h, at, np.array([4096, 4096]))[0], "<u8"), 16), small)
+    differ = int(np.bitwise_count(small ^ shingles.folded(large, 16)).sum())
+    assert 0 < differ <= len(np.setxor1d(one, two))
+
+
+def test_odd_rows(spark):
+    rows = [(1, "", "x"), (2, None, "y"), (3, "one two", "z"), (3, "one two", "z"), (None, "One  TWO", "w"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component string")
+    got = sorted(map(tuple, shingles.near_duplicates(docs).collect()), key=str)
+    assert got == [(1, 1), (2, 1), (3, 3), (3, 3), (None, 1), (None, 3)]
+    kept = shingles.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 3]
