@@ -114,10 +114,11 @@ h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLM
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
 l AS (SELECT doc_id, count(*) AS n, sum((coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1)::INT) AS b FROM labels GROUP BY doc_id),
 hs AS (SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(b), 0)::DOUBLE AS b FROM h LEFT JOIN l ON page_id = doc_id GROUP BY host),
-x AS (SELECT *, string_split(host, '.') AS parts FROM hs),
+w AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS bare FROM hs),
+x AS (SELECT *, string_split(bare, '.') AS parts, regexp_matches(bare, '^[0-9]+(\\.[0-9]+){{3}}$') OR starts_with(bare, '[') AS address FROM w),
 y AS (SELECT *, array_to_string(parts[-2:], '.') AS two FROM x),
-hosts AS (SELECT host, n, b, CASE WHEN two IN ({_TWO}) THEN array_to_string(parts[-3:], '.') ELSE two END AS domain,
-                 CASE WHEN two IN ({_TWO}) THEN two ELSE parts[-1] END AS suffix FROM y),
+hosts AS (SELECT host, n, b, CASE WHEN address THEN bare WHEN two IN ({_TWO}) THEN array_to_string(parts[-3:], '.') ELSE two END AS domain,
+                 CASE WHEN address THEN '' WHEN two IN ({_TWO}) THEN two ELSE parts[-1] END AS suffix FROM y),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM domains GROUP BY ALL),
 s0 AS ({_STRENGTH.format('suffixes')}), s1 AS ({_STRENGTH.format('domains')}), s2 AS ({_STRENGTH.format('hosts')}),
