@@ -5,16 +5,18 @@ The mixture weights depend on how often the context v was seen, by powers of two
 maximisation on a part of the training documents whose counts are deleted from the estimates meanwhile (fold 1 of
 crc32 mod 10; fold 0 is never learned from). Scores then use the counts of all training documents.
 
-Counts cover every document. Words and pairs travel as 64-bit hashes, the lowest bit telling pairs from words: each chunk of documents sends every bucket
-its distinct hashes with their counts, a bucket adds them up over the corpus and answers each chunk with the totals in
-the chunk's own order. So what is gathered grows with the distinct n-grams per chunk, never with pairs of documents, and a frequent
-word is one entry per chunk.
+Counts cover every document. Each chunk of documents sends every bucket its distinct words and pairs with their counts, a
+bucket adds them up over the corpus and answers each chunk with the totals in the chunk's own order. So what is gathered grows
+with the distinct n-grams per chunk, never with pairs of documents, and a frequent word is one entry per chunk. Buckets find
+words by a 64-bit hash and hold their bytes against each other; pairs have a key of 96 bits. Where two different ones meet
+under one hash, all is done again with another hash function, so counts are exact.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm._chunks import ROWS, TEXTS, dealt, expand, grouped, release, runs, squeeze, text_blobs, texts_of, to_buckets, with_chunks
-from skerry.llm._shared import partitions, written
-from skerry.llm._text import LOWER, flat, word_bounds
+from skerry.llm._shared import forget, partitions, written
+from skerry.llm._text import LOWER, SEPARATOR, flat, word_bounds, xxh64
 
 FOLDS = 10
 #: Context-frequency buckets: the number of binary digits of a count of 64 bits, and 0 for unseen.
 BUCKETS = 65
-_START, _END = np.uint64(0x9D8A3C5B1F2E7A61), np.uint64(0x5C3F9E21B7D4A86B)
-_POWER = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_POWER, -1, 1 << 64)
-_BYTES = np.random.default_rng(20_240_229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SLICE = 1 << 20
+#: The end and the start of a text among the words: no word has white space.
+_END, _START = b"\n", b"\t"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -41,91 +40,71 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
-    """A 64-bit hash of each word, its bytes mapped by ``fold`` (lower-cased): differences of prefix sums of byte values times powers of an odd number."""
-    out = np.zeros(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        low = int(starts[at])
-        upto = max(int(np.searchsorted(ends, low + _SLICE, side="right")), at + 1)
-        high = int(ends[upto - 1])
-        n = high - low
-        with np.errstate(over="ignore"):
-            power, back = powers(n + 1)
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTES[fold[data[low:high]]] * power[:-1], out=sums[1:])
-            s, e = starts[at:upto] - low, ends[at:upto] - low
-            out[at:upto] = _mix((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64))
-        at = upto
-    return out
+def _words_from(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
+    bounds = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-_tables: list[np.ndarray] = []
+@dataclass(frozen=True)
+class Hash:
+    """How words are hashed: 64 bits of XXH64 under a seed, or fewer."""
 
+    seed: int = 0
+    bits: int = 64
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2^64; kept for the process."""
-    if not _tables or len(_tables[0]) < n:
-        _tables.clear()
-        for base in (_POWER, _INVERSE):
-            table = np.full(max(n, _SLICE + 4096), np.uint64(base))
-            table[0] = 1
-            np.multiply.accumulate(table, out=table)
-            _tables.append(table)
-    return _tables[0][:n], _tables[1][:n]
+    def of(self, words: pa.Array) -> np.ndarray:
+        data, offsets = flat(words)
+        return xxh64(data, offsets[:-1], offsets[1:], self.seed) << np.uint64(64 - self.bits)
 
 
 class Tokens:
-    """The tokens of some documents: hashes with one end per document, and each token's word and pair keys."""
+    """The tokens of some documents: distinct words with their bytes and distinct pairs, both in the order of their keys, and
+    each token's word, pair and context among them."""
 
-    def __init__(self, keys: list, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, keys: list, data: np.ndarray, offsets: np.ndarray, by: Hash):
         starts, ends, before = word_bounds(data, offsets)
-        words = word_hashes(data, starts, ends)
-        n = len(offsets) - 1
+        coded = _words_from(ends - starts, LOWER[data[~SEPARATOR[data]]]).dictionary_encode()
+        words = pa.concat_arrays([coded.dictionary, pa.array([_END, _START], pa.large_binary())])
+        n, v = len(offsets) - 1, len(words)
         self.counts = np.diff(before) + 1
         self.first = before[:-1] + np.arange(n)
-        tokens = np.empty(len(words) + n, np.uint64)
-        place = np.ones(len(tokens), bool)
-        place[before[1:] + np.arange(n)] = False
-        tokens[place] = words
-        tokens[~place] = _END
-        previous = np.empty_like(tokens)
-        previous[1:] = tokens[:-1]
-        previous[self.first] = _START
+        token = np.full(len(starts) + n, v - 2, np.int64)
+        inside = np.ones(len(token), bool)
+        inside[before[1:] + np.arange(n)] = False
+        token[inside] = coded.indices.to_numpy()
+        previous = np.empty_like(token)
+        previous[1:] = token[:-1]
+        previous[self.first] = v - 1
+        hashes = by.of(words)
+        order = np.argsort(hashes, kind="stable")
+        rank = np.empty(v, np.int64)
+        rank[order] = np.arange(v)
+        self.words, self.word_keys, self.start = words.take(pa.array(order)), hashes[order], int(rank[v - 1])
+        self.word_of, self.context_of = rank[token], rank[previous]
+        pairs, of = np.unique(previous * v + token, return_inverse=True)
+        left, right = hashes[pairs // v], hashes[pairs % v]
         with np.errstate(over="ignore"):
-            self.word = tokens & ~np.uint64(1)
-            self.pair = _mix(previous * np.uint64(0xD6E8FEB86659FD93) + _mix(tokens)) | np.uint64(1)
+            key = _mix(left * np.uint64(0xD6E8FEB86659FD93) + _mix(right))
+            check = (_mix(right * np.uint64(0x9E3779B97F4A7C15) ^ left) >> np.uint64(32)).astype("<u4")
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(len(pairs), np.int64)
+        rank[order] = np.arange(len(pairs))
+        self.pair_keys, self.pair_checks, self.pair_of = key[order], check[order], rank[of]
         self.fold = np.array([zlib.crc32(("" if k is None else str(k)).encode()) % FOLDS for k in keys], np.int64)
         self.token_fold = np.repeat(self.fold, self.counts)
 
-    def index(self) -> np.ndarray:
-        """All distinct keys, sorted; remembers where each token's word and pair are among them."""
-        words, self._word_of = np.unique(self.word, return_inverse=True)
-        pairs, self._pair_of = np.unique(self.pair, return_inverse=True)
-        keys = np.sort(np.concatenate([words, pairs, np.array([_START & ~np.uint64(1)])]))
-        self._word_at, self._pair_at = np.searchsorted(keys, words), np.searchsorted(keys, pairs)
-        self._start_at = int(np.searchsorted(keys, _START & ~np.uint64(1)))
-        return keys
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The keys and their counts in the documents estimated from (folds 2 up) and in the deleted part (fold 1)."""
-        keys, out = self.index(), []
+    def distinct(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Counts of words and of pairs in the documents estimated from (folds 2 up) and in the deleted part (fold 1)."""
+        out = []
         for part, documents in ((self.token_fold > 1, self.fold > 1), (self.token_fold == 1, self.fold == 1)):
-            count = np.zeros(len(keys), np.int64)
-            if part.any():
-                count[self._word_at] = np.bincount(self._word_of[part], minlength=len(self._word_at))
-                count[self._pair_at] = np.bincount(self._pair_of[part], minlength=len(self._pair_at))
-            count[self._start_at] = documents.sum()
-            out.append(count)
-        return keys, out[0], out[1]
-
-    def counts_of(self, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per token, the counts of its word, its pair and its context, from counts in the order of the keys."""
-        word = count[self._word_at][self._word_of]
-        context = np.empty_like(word)
-        context[1:] = word[:-1]
-        context[self.first] = count[self._start_at]
-        return word, count[self._pair_at][self._pair_of], context
+            words = np.bincount(self.word_of[part], minlength=len(self.word_keys)).astype(np.int64)
+            words[self.start] = documents.sum()
+            out.append((words, np.bincount(self.pair_of[part], minlength=len(self.pair_keys)).astype(np.int64)))
+        return out
+
+    def counts_of(self, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per token, the counts of its word, its pair and its context."""
+        return words[self.word_of], pairs[self.pair_of], words[self.context_of]
 
 
 def _packed_keys(keys: np.ndarray) -> np.ndarray:
@@ -147,27 +126,28 @@ def _unplanes(planes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").reshape(-1)
 
 
-def _read_chunk(parts: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> tuple[pa.Array, Tokens]:
+def _read_chunk(parts: list[tuple[pa.Array, np.ndarray, np.ndarray]], by: Hash) -> tuple[pa.Array, Tokens]:
     keys = pa.concat_arrays([p[0] for p in parts])
     offsets = [p[2] for p in parts]
     base = np.concatenate([[0], np.cumsum([o[-1] for o in offsets])])
     joined = np.concatenate([offsets[0][:1], *[o[1:] + b for o, b in zip(offsets, base, strict=False)]])
-    return keys, Tokens(keys.to_pylist(), np.concatenate([p[1] for p in parts]), joined)
+    return keys, Tokens(keys.to_pylist(), np.concatenate([p[1] for p in parts]), joined, by)
 
 
-def _grams(chunked: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, chunk, blob): the chunk's distinct keys and counts. A chunk that two tasks share sends twice; sums do not mind,
-    and answers go by chunk and are merged there."""
+def _grams(chunked: DataFrame, buckets: int, by: Hash) -> DataFrame:
+    """(bucket, chunk, blob): the chunk's distinct words and pairs with their counts. A chunk that two tasks share sends twice; sums
+    do not mind, and answers go by chunk and are merged there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(chunk, held):
-            _, tokens = _read_chunk(held)
-            keys, est, hold = tokens.distinct()
-            low, high = to_buckets(keys, buckets)
-            blobs = [squeeze(_packed_keys(keys[a:b]), _planes(est[a:b]), _planes(hold[a:b])) for a, b in zip(low, high, strict=True)]
-            for b in range(buckets):
-                if high[b] > low[b]:
-                    yield pa.record_batch([pa.array([b], pa.int32()), pa.array([chunk], pa.int64()), pa.array([blobs[b]], pa.binary())], names=["bucket", "chunk", "blob"])
+            t = _read_chunk(held, by)[1]
+            (est, est2), (hold, hold2) = t.distinct()
+            data, at = flat(t.words)
+            for b, (a, z, a2, z2) in enumerate(zip(*to_buckets(t.word_keys, buckets), *to_buckets(t.pair_keys, buckets), strict=True)):
+                if z > a or z2 > a2:
+                    words = [_packed_keys(t.word_keys[a:z]), np.diff(at[a : z + 1]).astype("<u4"), data[at[a] : at[z]], _planes(est[a:z]), _planes(hold[a:z])]
+                    pairs = [_packed_keys(t.pair_keys[a2:z2]), t.pair_checks[a2:z2], _planes(est2[a2:z2]), _planes(hold2[a2:z2])]
+                    yield pa.record_batch([pa.array([b], pa.int32()), pa.array([chunk], pa.int64()), pa.array([squeeze(*words, *pairs)], pa.binary())], names=["bucket", "chunk", "blob"])
 
         now, held = None, []
         for batch in batches:
@@ -185,36 +165,51 @@ def _grams(chunked: DataFrame, buckets: int) -> DataFrame:
     return chunked.mapInArrow(run, "bucket int, chunk long, blob binary")
 
 
-def _totals(grams: DataFrame) -> DataFrame:
-    """(chunk, kind, blob, n_est, n_hold, v_est, v_all): answers, and one row of sums per bucket with a null chunk."""
+class _Sums:
+    """Distinct keys of one bucket with their totals, from all chunks' keys, what tells their owners apart, and counts."""
+
+    def __init__(self, keys: list[np.ndarray], owners: np.ndarray, est: list[np.ndarray], hold: list[np.ndarray]):
+        self.keys, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        self.clashes = int((owners != owners[first][place]).sum())
+        self.est, self.hold = (np.zeros(len(self.keys), np.int64) for _ in range(2))
+        np.add.at(self.est, place, np.concatenate(est))
+        np.add.at(self.hold, place, np.concatenate(hold))
+
+    def answer(self, keys: list[np.ndarray]) -> list[np.ndarray]:
+        own = np.searchsorted(self.keys, keys[0] if len(keys) == 1 else np.unique(np.concatenate(keys)))
+        return [_planes(self.est[own]), _planes(self.hold[own])]
+
+
+def _totals(grams: DataFrame, by: Hash) -> DataFrame:
+    """(chunk, kind, blob, n_est, n_hold, v_est, v_all, clashes): answers, and one row of sums per bucket with a null chunk."""
+    names = ("n_est", "n_hold", "v_est", "v_all", "clashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary()), *[(c, pa.int64()) for c in ("n_est", "n_hold", "v_est", "v_all")]])
+        schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary()), *[(c, pa.int64()) for c in names]])
+        start = by.of(pa.array([_START], pa.large_binary()))[0]
         for (bucket,), rows in grouped(batches):
-            by_chunk: dict[int, list[np.ndarray]] = {}
-            sums = []
+            by_chunk: dict[int, list[tuple]] = {}
+            parts = []
             for _, chunk, blob in rows:
-                planes, est, hold = expand(blob)
-                keys = _unpacked_keys(planes)
-                by_chunk.setdefault(chunk, []).append(keys)
-                sums.append((keys, _unplanes(est), _unplanes(hold)))
-            keys, place = np.unique(np.concatenate([s[0] for s in sums]), return_inverse=True)
-            est, hold = (np.zeros(len(keys), np.int64) for _ in range(2))
-            np.add.at(est, place, np.concatenate([s[1] for s in sums]))
-            np.add.at(hold, place, np.concatenate([s[2] for s in sums]))
-            words = ((keys & np.uint64(1)) == 0) & (keys != (_START & ~np.uint64(1)))
-            row = [est[words].sum(), hold[words].sum(), (est[words] > 0).sum(), ((est + hold)[words] > 0).sum()]
-            yield pa.record_batch([pa.array([None], pa.int64()), pa.array([bucket], pa.int32()), pa.array([None], pa.binary()), *[pa.array([int(x)], pa.int64()) for x in row]], schema=schema)
-            for chunk, parts in by_chunk.items():
-                own = np.searchsorted(keys, parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)))
-                blob = squeeze(_planes(est[own]), _planes(hold[own]))
-                yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary()), *[pa.array([None], pa.int64())] * 4], schema=schema)
-
-    return grams.mapInArrow(run, "chunk long, kind int, blob binary, n_est long, n_hold long, v_est long, v_all long")
-
-
-def _chunks_with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Tokens, np.ndarray, np.ndarray]]:
-    """Per chunk: document keys, indexed tokens, and the answered counts in the order of the index."""
+                words, lengths, data, est, hold, pairs, checks, est2, hold2 = expand(blob)
+                words, pairs = _unpacked_keys(words), _unpacked_keys(pairs)
+                by_chunk.setdefault(chunk, []).append((words, pairs))
+                parts.append((words, _words_from(lengths, data), _unplanes(est), _unplanes(hold), pairs, checks, _unplanes(est2), _unplanes(hold2)))
+            columns = list(zip(*parts, strict=True))
+            spelled = pa.chunked_array(columns[1], pa.large_binary()).combine_chunks().dictionary_encode().indices.to_numpy()
+            w, p = _Sums(columns[0], spelled, columns[2], columns[3]), _Sums(columns[4], np.concatenate(columns[5]), columns[6], columns[7])
+            real = w.keys != start
+            sums = [w.est[real].sum(), w.hold[real].sum(), (w.est[real] > 0).sum(), ((w.est + w.hold)[real] > 0).sum(), w.clashes + p.clashes]
+            yield pa.record_batch([pa.array([None], pa.int64()), pa.array([bucket], pa.int32()), pa.array([None], pa.binary()), *[pa.array([int(x)], pa.int64()) for x in sums]], schema=schema)
+            for chunk, own in by_chunk.items():
+                blob = squeeze(*w.answer([o[0] for o in own]), *p.answer([o[1] for o in own]))
+                yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary()), *[pa.array([None], pa.int64())] * len(names)], schema=schema)
+
+    return grams.mapInArrow(run, "chunk long, kind int, blob binary, " + ", ".join(f"{c} long" for c in names))
+
+
+def _chunks_with_counts(batches: Iterator[pa.RecordBatch], by: Hash) -> Iterator[tuple[pa.Array, Tokens, tuple, tuple]]:
+    """Per chunk: document keys, tokens, and the answered counts of words and pairs, estimated and deleted."""
     for _, rows in grouped(batches):
         answers, parts = [], []
         for _, kind, blob in rows:
@@ -223,10 +218,11 @@ def _chunks_with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.
             else:
                 answers.append([_unplanes(x) for x in expand(blob)])
         if parts and answers:
-            keys, tokens = _read_chunk(parts)
-            if len(tokens.index()) != sum(len(a[0]) for a in answers):
+            keys, tokens = _read_chunk(parts, by)
+            est, hold, est2, hold2 = (np.concatenate([a[i] for a in answers]) for i in range(4))
+            if len(est) != len(tokens.word_keys) or len(est2) != len(tokens.pair_keys):
                 raise RuntimeError("a chunk changed between two passes")
-            yield keys, tokens, np.concatenate([a[0] for a in answers]), np.concatenate([a[1] for a in answers])
+            yield keys, tokens, (est, est2), (hold, hold2)
 
 
 def _context_bucket(count: np.ndarray) -> np.ndarray:
@@ -270,26 +266,30 @@ def learn_weights(items: DataFrame, uniform: float, rounds: int = 25, close: flo
     return weights
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = ROWS) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = ROWS, by: Hash = Hash()) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     A null text is an empty one: it has one token, the end. A null key counts as the empty text in the choice of folds
     (fold 0). Repeated rows are counted and scored as often as they come; other columns are ignored. With no training
-    document every count is 0: the base is that of an empty model and the score that of the uniform estimate.
+    document every count is 0: the base is that of an empty model and the score that of the uniform estimate. An empty table
+    gives an empty result.
     """
     n = partitions(docs.sparkSession)
     fold = F.crc32(F.coalesce(F.col("key").cast("string"), F.lit(""))) % FOLDS
     # The deleted part has chunks of its own, so that learning the weights reads only its texts.
     others = with_chunks(docs, key, text, rows).filter(fold != 1)
     part = with_chunks(docs, key, text, rows * 8).filter(fold == 1).withColumn("chunk", F.xxhash64("chunk", F.lit(1)))
-    grams = dealt(_grams(others, n).unionByName(_grams(part, n)), n, "bucket", "chunk")
-    table = written(_totals(grams), "ngram-totals")
-    n_est, n_hold, v_est, v_all = (int(x or 0) for x in table.agg(*[F.sum(c) for c in ("n_est", "n_hold", "v_est", "v_all")]).first())
+    grams = dealt(_grams(others, n, by).unionByName(_grams(part, n, by)), n, "bucket", "chunk")
+    table = written(_totals(grams, by), "ngram-totals")
+    n_est, n_hold, v_est, v_all, clashes = (int(x or 0) for x in table.agg(*[F.sum(c) for c in ("n_est", "n_hold", "v_est", "v_all", "clashes")]).first())
+    if clashes:
+        forget(table)
+        return score(docs, key, text, rows, Hash(by.seed + 1))
     answers = table.filter("chunk IS NOT NULL").select("chunk", "kind", "blob")
 
     def deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, tokens, est, _ in _chunks_with_counts(batches):
-            word, pair, context = tokens.counts_of(est)
+        for _, tokens, est, _ in _chunks_with_counts(batches, by):
+            word, pair, context = tokens.counts_of(*est)
             bucket, uni, bi = _estimates(word, pair, context, n_est)
             both = (uni.astype("<f4").view("<u4").astype(np.uint64) << np.uint64(32)) | bi.astype("<f4").view("<u4")
             for b in np.unique(bucket):
@@ -304,8 +304,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int =
     total = n_est + n_hold
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, tokens, est, hold in _chunks_with_counts(batches):
-            word, pair, context = tokens.counts_of(est + hold)
+        for names, tokens, est, hold in _chunks_with_counts(batches, by):
+            word, pair, context = tokens.counts_of(*[a + b for a, b in zip(est, hold, strict=True)])
             bucket, uni, bi = _estimates(word, pair, context, total)
             w = weights[bucket]
             w = np.where((context > 0)[:, None], w, w * [1.0, 1.0, 0.0])

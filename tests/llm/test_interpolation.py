@@ -80,3 +80,22 @@ def test_empty_and_untrained(spark):
     row = interpolation.score(docs).first()
     assert row.held_out and row.n_tokens == 3 and row.n_known == 0 and row.train_tokens == 0 and row.base_score == pytest.approx(0.0)
     assert interpolation.score(docs.limit(0)).count() == 0
+
+
+def test_clashing_hashes_are_found_and_done_again(spark):
+    """With hashes of a few bits words meet under one key; counts stay those of the words."""
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 90}" for k in range(i % 23))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: tuple(r) for r in interpolation.score(docs, rows=16, by=interpolation.Hash(0, 5)).collect()}
+    for w in brute(rows):
+        g = got[w[0]]
+        assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-4)
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(i, one if i % 2 else f"{other} {other}") for i in range(40)]
+    got = {r.doc_id: tuple(r) for r in interpolation.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for w in brute(rows):
+        assert got[w[0]][:5] == w[:5] and got[w[0]][5] == pytest.approx(w[5], rel=1e-9)
