@@ -32,6 +32,15 @@ AGGREGATES: dict[str, tuple[str, str, str | None]] = {
     "bit_and_or_xor": ("bit_and(q) + bit_or(q) * 1000 + bit_xor(q) * 1000000", "bigint", None),
     "first_any_value": ("first(g) || any_value(g) || first_value(g, true)", "string", "any_value(g) || any_value(g) || any_value(g)"),
     "last_value": ("last(g) || last_value(g)", "string", "any_value(g) || any_value(g)"),
+    "first_ignores_nulls": ("first(IF(p % 2 = 0, g || 'x', NULL), true) || first_value(IF(p % 5 = 0, length(h), NULL), true)", "string", "any_value(g) || 'x1'"),
+    "any_value_ignores_nulls": ("any_value(IF(p % 3 = 1, length(g) + 40, NULL), true)", "int", "any_value(length(g) + 40)"),
+    "last_ignores_nulls": ("last(IF(p % 2 = 0, NULL, g || 'y'), true)", "string", "any_value(g || 'y')"),
+    "try_sum_overflow": ("try_sum(CAST(9223372036854775807 AS BIGINT) - q)", "bigint", "CASE WHEN count(*) > 1 THEN NULL ELSE max(9223372036854775807 - q) END"),
+    "min_max_boolean": ("min(b) OR max(b)", "boolean", "bool_and(b) OR bool_or(b)"),
+    "min_max_binary": ("concat_ws('-', hex(min(CAST(h AS BINARY))), hex(max(CAST(h || q AS BINARY))))", "string", "hex(encode(min(h))) || '-' || hex(encode(max(h || q)))"),
+    "max_collated_decides": ("CAST(max((CASE WHEN p % 2 = 0 THEN 'a' ELSE 'B' END) COLLATE UTF8_LCASE) AS STRING)", "string", "'B'"),
+    "min_collated_decides": ("CAST(min((CASE WHEN p % 2 = 0 THEN 'a' ELSE 'B' END) COLLATE UTF8_LCASE) AS STRING)", "string", "'a'"),
+    "min_max_nan": ("concat_ws('-', CAST(isnan(max(IF(p % 2 = 0, CAST('NaN' AS DOUBLE), x))) AS STRING), CAST(isnan(min(IF(p % 2 = 0, CAST('NaN' AS DOUBLE), x))) AS STRING))", "string", "'true-false'"),
     "max_by": ("max_by(o, struct(x, o, p))", "bigint", "arg_max(o, (x, o, p))"),
     "min_by": ("min_by(o, struct(x, o, p))", "bigint", "arg_min(o, (x, o, p))"),
     "stddev_samp": ("stddev(x)", "double", None),
@@ -45,7 +54,7 @@ AGGREGATES: dict[str, tuple[str, str, str | None]] = {
     "corr": ("corr(dq, x)", "double", None),
     **{f"regr_{f}": (f"regr_{f}(x, dq)", "double", None) for f in ("slope", "intercept", "count", "avgx", "avgy", "r2")},
     "regr_sums": ("regr_sxx(y, dq) + regr_syy(y, dq) + regr_sxy(y, dq)", "double", None),
-    "collect_list": ("array_join(slice(sort_array(collect_list(CAST(q AS INT))), 1, 50), ',')", "string", "array_to_string(list_sort(list(q))[1:50], ',')"),
+    "collect_list": ("array_join(sort_array(collect_list(q)), ',')", "string", "array_to_string(list_sort(list(q)), ',')"),
     "collect_set": ("array_join(sort_array(collect_set(q)), ',')", "string", "array_to_string(list_sort(list(DISTINCT q)), ',')"),
     "filter_clause": ("sum(q) FILTER (WHERE b) - count(*) FILTER (WHERE y > 0.05)", "bigint", None),
     "count_distinct": ("count(DISTINCT p)", "bigint", None),

@@ -170,6 +170,32 @@ class SnapshotTable:
         return self.overwrite(self.read().repartition(max(1, -(-total // target_bytes))))
 
 
+    def bin_pack(self, target_bytes: int = 512 << 20, least_share: float = 0.75) -> int:
+        """Small files and files with deleted rows packed into bins of about the target size, a new file for each; files that are
+        large enough and whole stay as they are. No deletes are left: every file that had some is new."""
+        entries = self.manifest()
+        rows = self.read(positions=True, deleted_flag="_gone")
+        stats = rows.groupBy("_file").agg(F.count_if("_gone").alias("gone"))
+        paths = [e["path"] for e in entries if e["kind"] == "data"]
+        sizes = self.spark.read.parquet(*paths).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("size")).distinct()
+        known = {r._file: (r.size, r.gone or 0) for r in sizes.join(stats, "_file", "left").collect()}  # a row per file of the manifest
+        chosen = sorted((f for f, (size, gone) in known.items() if gone or size < least_share * target_bytes), key=lambda f: -known[f][0])
+        bins: list[int] = []
+        place: list[tuple[str, int]] = []
+        for f in chosen:  # first fit, largest first
+            at = next((i for i, used in enumerate(bins) if used + known[f][0] <= target_bytes), len(bins))
+            bins[at:] = bins[at:] or [0]
+            bins[at] += known[f][0]
+            place.append((f, at))
+        number = 1 + max([e["sequence"] for e in entries], default=0)
+        kept = [e for e in entries if e["kind"] == "data" and e["path"] not in set(chosen)]
+        if not chosen:
+            return self._commit(kept)
+        where = self.spark.createDataFrame(place, "_file string, _bin int")
+        packed = rows.filter(~F.col("_gone")).join(where, "_file").repartitionById(len(bins), "_bin").drop("_file", "_pos", "_gone", "_bin")
+        return self._commit(kept + [{"path": p, "kind": "data", "sequence": number} for p in self._write(packed, "data")])
+
+
 def merge_rows(target: DataFrame, source: DataFrame, on: list[str], clauses: list[Clause]) -> DataFrame:
     """The rows of ``target`` after a MERGE with ``source``. A target row that two source rows match is an error, raised by the job."""
     columns = target.columns

@@ -78,3 +78,50 @@ def test_report(spark):
     found = report.reasons(df)
     assert found.get("BatchEvalPython") == "row-at-a-time Python function"
     assert any(e["operator"].startswith("Range") for e in report.explain(df))
+
+
+def test_local_pre_aggregate(spark, fact):
+    from skerry.operators import preaggregate
+
+    aggs = {"s": ("sum", "x"), "n": ("count", "x"), "m": ("max", "v")}
+    plain = fact.groupBy("k").agg(F.sum("x").alias("s"), F.count("x").alias("n"), F.max("v").alias("m"))
+    for first, most in ((50_000, 0.5), (1, 0.0), (1, 1.0)):
+        partial = preaggregate.local_pre_aggregate(fact, ["k"], aggs, first, most)
+        assert "Exchange" not in partial._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+        assert rows(preaggregate.finish(partial, ["k"], aggs)) == rows(plain)
+    many = spark.range(0, 40_000, 1, 1).selectExpr("id", "id % 7 AS k", "1 AS one")
+    assert preaggregate.local_pre_aggregate(many, ["k"], {"n": ("sum", "one")}, 1000).count() == 7
+    assert preaggregate.local_pre_aggregate(many, ["id"], {"n": ("sum", "one")}, 1000).count() == 40_000, "it gives up and passes rows on"
+    with pytest.raises(rewrites.Declined):
+        preaggregate.local_pre_aggregate(fact, ["k"], {"a": ("avg", "x")})
+
+
+def test_bloom_filters(spark):
+    from skerry.functions import bloom
+
+    keys = spark.range(0, 20_000, 2).selectExpr("id AS k").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS k"))
+    blocks = bloom.blocks_for(10_000)
+    found = bloom.build(keys, "k", blocks)
+    every = spark.range(20_001).selectExpr("IF(id < 20000, id, NULL) AS k", "id AS block")
+    for partitioned in (False, True):
+        seen = {r.k for r in bloom.probe(every, "k", found, blocks, partitioned).collect()}
+        assert seen >= set(range(0, 20_000, 2)) and len(seen) < 10_000 + 500, "no false negative, few false positives"
+    halves = bloom.merge(bloom.build(keys.filter("k < 9000"), "k", blocks), bloom.build(keys.filter("k >= 9000"), "k", blocks))
+    assert rows(halves) == rows(found)
+    assert bloom.probe(every, "k", bloom.build(keys.limit(0), "k", blocks), blocks).count() == 0
+
+
+def test_runtime_filter_and_skew_join_are_planned(spark):
+    from skerry import catalog
+
+    plan = lambda df: df._jdf.queryExecution().toString()
+    bloomed = catalog.queries()["join_runtime_bloom_filter"](spark, "/root/testdata/sf0.001")
+    assert "might_contain" in plan(bloomed) and "bloom_filter_agg" in plan(bloomed)
+    own = spark.newSession()
+    for name, value in {"autoBroadcastJoinThreshold": "-1", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "adaptive.skewJoin.skewedPartitionFactor": "1.5", "adaptive.advisoryPartitionSizeInBytes": "4k", "adaptive.coalescePartitions.enabled": "false"}.items():
+        own.conf.set(f"spark.sql.{name}", value)
+    left = own.range(0, 60_000, 1, 8).selectExpr("IF(id % 3 <> 0, 1, id) AS k", "id AS v")
+    joined = left.join(own.range(0, 60_000, 1, 8).selectExpr("id AS k", "id AS w").hint("merge"), "k")
+    assert joined.count() == 60_000
+    joined.collect()
+    assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()

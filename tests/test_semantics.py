@@ -79,3 +79,57 @@ def test_entry_works_without_the_corpus_operators():
     code = "import sys; sys.modules['skerry.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'tpch_q1' in q and not any(n.startswith('op1') for n in q) and 'pipeline' not in q; e.oracle_sql()"
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_published_hash_values(spark):
+    row = spark.sql("SELECT hash('Spark', array(123), 2) AS m, xxhash64('Spark', array(123), 2) AS x, crc32('Spark') AS c, sha2('Spark', 256) AS s").first()
+    assert (row.m, row.x, row.c) == (-1321691492, 5602566077635097486, 1557323817)
+    assert row.s == "529bc3b07127ecb7e53a4dcf1991d9152c24537d919178022b2c42657f79a26b"
+
+
+def test_sample_partition_ids_and_increasing_ids(spark):
+    df = spark.range(0, 20_000, 1, 5)
+    some = relational.sample(df, 0.1, 7)
+    assert some.exceptAll(df).count() == 0 and 1700 < some.count() < 2300 and relational.sample(df, 0.1, 7).exceptAll(some).count() == 0
+    parts = df.select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"), "id").collect()
+    assert {r.p for r in parts} == set(range(5)) and all(r.i == (r.p << 33) + r.id % 4000 for r in parts)
+
+
+def test_store_assignment_fails_where_a_value_does_not_fit(spark, tmp_path):
+    spark.sql(f"CREATE TABLE narrow_target (k TINYINT) USING parquet LOCATION '{tmp_path}/narrow'")
+    try:
+        spark.sql("SELECT CAST(100 AS BIGINT) AS k").write.insertInto("narrow_target")
+        assert [r.k for r in spark.table("narrow_target").collect()] == [100]
+        with pytest.raises(Exception, match="CAST_OVERFLOW_IN_TABLE_INSERT|CAST_OVERFLOW"):
+            spark.sql("SELECT CAST(1000 AS BIGINT) AS k").write.insertInto("narrow_target")
+    finally:
+        spark.sql("DROP TABLE narrow_target")
+
+
+@pytest.mark.parametrize(("text", "want"), [("1 / 0", None), ("CAST('x' AS INT)", None), ("CAST(2147483647 AS INT) + CAST(1 AS INT)", -2147483648), ("element_at(array(1), 5)", None), ("CAST(300 AS TINYINT)", 44), ("5 % 0", None), ("CAST('12.7' AS INT)", 12)])
+def test_legacy_semantics(spark, text, want):
+    own = spark.newSession()
+    own.conf.set("spark.sql.ansi.enabled", "false")
+    assert own.sql(f"SELECT {text} AS v").first().v == want
+
+
+@pytest.mark.parametrize(("text", "want"), [("try_divide(1, 0)", None), ("try_add(2147483647, 1)", None), ("try_cast('x' AS INT)", None), ("try_cast('7' AS INT)", 7), ("try_element_at(array(1), 5)", None), ("try_to_number('x1', '99')", None), ("try_mod(5, 0)", None), ("try_multiply(9223372036854775807, 2)", None)])
+def test_try_semantics(spark, text, want):
+    assert spark.sql(f"SELECT {text} AS v").first().v == want
+
+
+def test_bin_pack_leaves_large_whole_files(spark, tmp_path):
+    from skerry.sources.lakehouse import SnapshotTable
+
+    lake = SnapshotTable(spark, str(tmp_path / "t"))
+    lake.append(spark.range(200_000).repartition(1))
+    large = {e["path"] for e in lake.manifest()}
+    size = spark.read.parquet(*large).select("_metadata.file_size").first().file_size
+    lake.append(spark.range(200_000, 200_300).repartition(6))
+    lake.bin_pack(target_bytes=size)
+    after = [e["path"] for e in lake.manifest()]
+    assert large < set(after) and len(after) == 2 and lake.read().count() == 200_300
+    lake.delete(F.col("id") == 5, "merge-on-read")
+    lake.bin_pack(target_bytes=size)
+    assert not large & {e["path"] for e in lake.manifest()} and all(e["kind"] == "data" for e in lake.manifest())
+    assert sorted(r.id for r in lake.read().filter("id < 10").collect()) == [0, 1, 2, 3, 4, 6, 7, 8, 9]
