@@ -54,3 +54,28 @@ def test_run_reads_documents(spark, tmp_path):
     spark.createDataFrame(documents(), "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 25
     assert quality.RULES
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 0
+
+
+def test_stages_carry_further_columns_and_odd_rows(spark):
+    odd = [(None, prose(50), None, None, None), (None, None, "en", None, 5), (7, prose(7), "xx", "y", -1), (7, prose(7), "xx", "y", -1), (60, prose(61) + " x" * 30_000, "en", "s", 0)]
+    docs = spark.createDataFrame(documents()[:12] + odd, SCHEMA).selectExpr("*", "timestamp_micros(coalesce(doc_id, 0) * 1000003 + 1) AS key", "map(1, lang, 2, source) AS chunk", "named_struct('k', doc_id) AS component", "X'00ff' AS kept", "doc_id AS length")
+    want = {str(r) for r in docs.drop("text", "n_chars").collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "key", "chunk", "component", "kept", "length"]
+        rows = docs.drop("text", "n_chars").collect()
+        assert rows and {str(r) for r in rows} <= want
+    assert docs.filter("doc_id = 7").count() == 3 and docs.filter("doc_id IS NULL").count() == 1
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert pieces.filter("doc_id = 7").count() >= 3 and pieces.filter("doc_id IS NULL").count() >= 1
