@@ -105,6 +105,8 @@ def text_blobs(chunked: DataFrame) -> DataFrame:
                     size += int(offsets[b] - offsets[a])
         if held:
             yield out(now, held)
+        held = []
+        release()
 
     return chunked.mapInArrow(run, "chunk long, kind int, blob binary")
 

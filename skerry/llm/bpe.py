@@ -374,6 +374,8 @@ def _words_of_chunks(chunked: DataFrame, ranks: dict[bytes, int], buckets: int)
                     held.append(words.filter(pa.array(vocabulary.whole(words) < 0)))
         if held:
             yield from out(now, held)
+        held = []
+        release()
 
     return chunked.mapInArrow(run, "bucket int, chunk long, blob binary")
 

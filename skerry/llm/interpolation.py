@@ -161,6 +161,8 @@ def _grams(chunked: DataFrame, buckets: int, by: Hash) -> DataFrame:
                 held.append((part.column(1), data, offsets))
         if held:
             yield from out(now, held)
+        held = []
+        release()
 
     return chunked.mapInArrow(run, "bucket int, chunk long, blob binary")
 

@@ -249,6 +249,8 @@ def _anchors(chunked: DataFrame, buckets: int) -> DataFrame:
                 base += part.num_rows
         if held:
             yield from out(now, held)
+        held = []
+        release()
 
     return chunked.mapInArrow(run, "bucket int, chunk long, blob binary")
 
