@@ -509,12 +509,13 @@ def _(t):
 
 @query(
     "lake_merge",
-    "SELECT c_custkey, c_acctbal + 100 AS c_acctbal FROM customer WHERE c_custkey % 4 = 1 UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 4 = 2 UNION ALL SELECT -c_custkey, c_acctbal + 100 FROM customer WHERE c_custkey % 4 = 3",
+    "SELECT c_custkey, c_acctbal + 100 AS c_acctbal FROM customer WHERE c_custkey % 4 = 1 UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 4 IN (2, 3) UNION ALL SELECT -c_custkey, c_acctbal + 100 FROM customer WHERE c_custkey % 4 = 3",
 )
 def _(t):
-    target = t.customer.filter("c_custkey % 4 IN (0, 1, 2)").select("c_custkey", "c_acctbal")
-    source = t.customer.filter("c_custkey % 4 <> 2").selectExpr("CASE WHEN c_custkey % 4 = 3 THEN -c_custkey ELSE c_custkey END AS c_custkey", "c_acctbal + 100 AS c_acctbal")
-    return merge_rows(target, source, ["c_custkey"], [Clause("matched", "delete", "t.c_custkey % 4 = 0"), Clause("matched", "update", None, {"c_acctbal": "s.c_acctbal"}), Clause("not_matched", "insert")])
+    # both sides whole: of the source's keys a quarter is new, and a quarter null, which matches nothing
+    target = t.customer.select("c_custkey", "c_acctbal")
+    source = t.customer.selectExpr("CASE c_custkey % 4 WHEN 3 THEN -c_custkey WHEN 2 THEN NULL ELSE c_custkey END AS c_custkey", "c_acctbal + 100 AS c_acctbal")
+    return merge_rows(target, source, ["c_custkey"], [Clause("matched", "delete", "t.c_custkey % 4 = 0"), Clause("matched", "update", None, {"c_acctbal": "s.c_acctbal"}), Clause("not_matched", "insert", "s.c_custkey IS NOT NULL")])
 
 
 # more of the benchmark's queries, as far as the test schema has their columns
@@ -735,3 +736,15 @@ def _(t):
     lake.delete(F.col("o_orderstatus") == "P", "merge-on-read")
     lake.bin_pack(target_bytes=64 << 10)
     return lake.read()
+
+
+@query(
+    "lake_merge_touched_files",
+    "SELECT c_custkey, CASE WHEN c_custkey <= 40 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey <> 7 UNION ALL SELECT -c_custkey - 1, c_acctbal + 1 FROM customer WHERE c_custkey <= 40",
+)
+def _(t):
+    lake = SnapshotTable(t.spark, t.scratch() + "/customer")
+    lake.append(t.customer.select("c_custkey", "c_acctbal").repartitionByRange(8, "c_custkey"))
+    source = t.customer.filter("c_custkey <= 40").selectExpr("explode(array(c_custkey, -c_custkey - 1)) AS c_custkey", "c_acctbal + 1 AS c_acctbal")
+    lake.merge(source, ["c_custkey"], [Clause("matched", "delete", "t.c_custkey = 7"), Clause("matched", "update", None, {"c_acctbal": "s.c_acctbal"}), Clause("not_matched", "insert")])
+    return lake.read()

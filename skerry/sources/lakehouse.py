@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,14 +154,33 @@ class SnapshotTable:
         live = self.read(positions=True)
         touched = {r._file for r in live.filter(condition).select("_file").distinct().collect()}  # file names only
         number = 1 + max([e["sequence"] for e in entries], default=0)
-        rows = live.filter(F.col("_file").isin(list(touched))).drop("_file", "_pos")
-        fresh = self._write(change(rows), "data") if touched else []
+        fresh = self._write(change(self._of_files(live, touched)), "data") if touched else []
         kept = [e for e in entries if not (e["kind"] == "data" and e["path"] in touched)]
         return self._commit(kept + [{"path": p, "kind": "data", "sequence": number} for p in fresh])
 
+    def _of_files(self, live: DataFrame, files: set[str]) -> DataFrame:
+        """The rows of some files; the list of names is a table, as it can be as long as the manifest."""
+        names = self.spark.createDataFrame([(f,) for f in sorted(files)], "_file string")
+        return live.join(names, "_file", "left_semi").drop("_file", "_pos")
+
     def merge(self, source: DataFrame, on: list[str], clauses: list[Clause]) -> int:
-        """MERGE: in each group the first clause whose condition is true takes the row; target rows that none takes stay."""
-        return self.overwrite(merge_rows(self.read(), source, on, clauses))
+        """MERGE: in each group the first clause whose condition is true takes the row; target rows that none takes stay.
+
+        Only files with rows that some clause may take are written anew: those that a source row matches, and with clauses for
+        rows not matched by the source those that have such rows. A source row that matches nothing there matches nothing.
+        """
+        entries = self.manifest()
+        live = self.read(positions=True).alias("t")
+        matched = live.join(source.select(*on).distinct().alias("s"), on, "left_semi").select("_file")
+        for clause in clauses:
+            if clause.when == "not_matched_by_source":
+                rest = live.join(source.select(*on).distinct().alias("s"), reduce(Column.__and__, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in on]), "left_anti")
+                matched = matched.unionByName((rest.filter(clause.condition) if clause.condition else rest).select("_file"))
+        touched = {r._file for r in matched.distinct().collect()}  # file names only
+        number = 1 + max([e["sequence"] for e in entries], default=0)
+        fresh = self._write(merge_rows(self._of_files(self.read(positions=True), touched), source, on, clauses), "data")
+        kept = [e for e in entries if not (e["kind"] == "data" and e["path"] in touched)]
+        return self._commit(kept + [{"path": p, "kind": "data", "sequence": number} for p in fresh])
 
     def compact(self, target_bytes: int = 512 << 20) -> int:
         """Live rows in files of about the target size, without delete files; sizes are those of the data files."""

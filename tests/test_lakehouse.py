@@ -50,3 +50,18 @@ def test_merge_clauses_in_order(spark):
     twice = spark.createDataFrame([(1, 1), (1, 2)], "id int, v int")
     with pytest.raises(Exception, match="MERGE_CARDINALITY_VIOLATION"):
         merge_rows(target, twice, ["id"], clauses).collect()
+
+
+def test_merge_rewrites_touched_files_only(spark, tmp_path):
+    t = SnapshotTable(spark, str(tmp_path / "t"))
+    t.append(spark.range(0, 1000).selectExpr("id", "id AS v").repartitionByRange(5, "id"))
+    before = {e["path"] for e in t.manifest()}
+    source = spark.createDataFrame([(3, 33), (5, 55), (-1, 1)], "id long, v long")
+    t.merge(source, ["id"], [Clause("matched", "delete", "t.id = 5"), Clause("matched", "update", None, {"v": "s.v"}), Clause("not_matched", "insert")])
+    after = {e["path"] for e in t.manifest()}
+    assert len(before & after) == 4 and t.read().count() == 1000
+    assert rows(t.read().filter("id < 7")) == sorted([(-1, 1), (0, 0), (1, 1), (2, 2), (3, 33), (4, 4), (6, 6)], key=str)
+    t.merge(source.limit(0), ["id"], [Clause("not_matched_by_source", "delete", "t.id >= 900")])
+    assert t.read().filter("id >= 900").count() == 0 and t.read().count() == 900
+    t.merge(spark.createDataFrame([(5000, 1)], "id long, v long"), ["id"], [Clause("not_matched", "insert")])
+    assert t.read().count() == 901
