@@ -78,3 +78,15 @@ def test_added_tokens_as_the_library_has_them(spark):
     for i, t in enumerate(texts):
         ids = np.array(library.encode(t, add_special_tokens=False).ids + [0], "<u4")
         assert got[i] == (len(ids), zlib.crc32(ids.tobytes())), t
+
+
+def test_latin_texts_have_the_library_ids():
+    """The fast way against the library on texts of every Latin character, white space, digits, contractions and controls."""
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, plain = packing.Encoder(file, public_tokenizers.path("byte_bpe_50k.tiktoken"), added=True), Tokenizer.from_file(file)
+    rng = np.random.default_rng(12)
+    alphabet = [chr(c) for c in range(0x250) if c not in range(0x80, 0xA0)] + [chr(0x85), "'s", "'ll", "'RE", "  ", "\n\n", "\r\n", " \t", "123", "the", " and", "<|", "|>"] * 6
+    for size in (1, 3, 12, 60):
+        for _ in range(700):
+            text = "".join(rng.choice(alphabet, size))
+            assert encoder.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
