@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays, compared as the SimHash operator does, on bit planes.
-    Rows that repeat the kept id all stay; a row without an id stays if nothing with an id is near; texts without words are
+    """Of each group of near copies the document with the smallest id stays. SimHash finds near copies as the operator does, with a
+    wider radius; an exact way follows for those beyond it, and whole sets of shingles prove all. Rows that repeat the kept id all stay; a row without an id stays if nothing with an id is near; texts without words are
     copies of each other."""
     return shingles.keep_one(docs)
 

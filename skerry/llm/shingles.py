@@ -1,23 +1,27 @@
 """Near copies by the Jaccard similarity of word shingles: every pair of texts at or above the threshold is found and proved.
 
-The SimHash operator's comparison with another fingerprint: a bit is the parity, not the majority, of the shingles hashed to
-it. Each shingle that only one of two texts has changes one bit, so fingerprints never differ in more bits than the texts
-differ in shingles, and a radius loses no pair.
+SimHash finds the pairs, whole sets prove them, and an exact way follows for pairs that no SimHash radius is sure to hold.
 
-Plan. (1) A narrow pass makes the set of five-word shingle hashes of each text, names it, and keeps its fingerprint of 256
-bits and its sketch, the same parities over as many places as the set has shingles; equal sets are one node from then on,
+Plan. (1) A narrow pass makes the set of five-word shingle hashes of each text, names it, and keeps its SimHash fingerprint
+and its sketch: parities of the shingles over as many places as the set has shingles. Equal sets are one node from then on,
 and no set is stored: a later pass makes it again. The same pass counts all shingles of all texts in SLOTS counters.
-(2) Two sets of similarity 4/5 or more share one of the first n - ceil(4n/5) + 1 shingles of each in any common order, so
-a set goes under these keys and no pair is missed. The order puts shingles with high counters last, which keeps groups small.
-(3) Neighbours under a key are compared first, then the closest of each row, which joins large groups by few pairs. (4) Of the
-rest, rows of a key are compared 64 at a time on bit planes with carry-save counters (``simhash.wide_pairs``), keys of many rows in square tiles, and
-what is left on prints, sketches of up to 2048 places, before a pair leaves its task.
-(5) Pairs go on if their whole sketches allow the similarity, and are proved on the whole sets.
+(2) SimHash, as in ``simhash`` but with a wider radius: the 64 bits are cut into 9 blocks, two fingerprints within 7 bits agree
+on at least 2, so each goes under 36 keys and none is missed. Rows of a key are compared 64 at a time on bit planes with
+carry-save counters (``simhash.wide_pairs``), and the closest pairs of each row are proved on the whole sets.
+(3) The rest. Two sets of similarity 4/5 or more share one of the first n - ceil(4n/5) + 1 shingles of each in any common
+order, so a set goes under these keys and no pair is missed. The order puts shingles with high counters last, which keeps
+groups small. Neighbours under a key are proved with the pairs of SimHash, then the closest of each row, which joins large
+groups by few pairs; at last every pair of different components is looked at. It is the same comparison with another
+fingerprint: each shingle that only one of two texts has changes one parity, so sketches never differ in more places than
+the texts differ in shingles, and this radius loses no pair. Keys of many rows lie in square tiles, and what the planes leave is
+held against prints, sketches of up to 2048 places, before a pair leaves its task.
+(4) Pairs go on if their whole sketches allow the similarity, and are proved on the whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +32,13 @@ from pyspark.sql import functions as F
 from skerry.llm._chunks import dealt, expand, portions, release, squeeze
 from skerry.llm._shared import partitions, written
 from skerry.llm._text import flat, joined_words, xxh64
-from skerry.llm.simhash import components, wide_pairs
+from skerry.llm.simhash import components, majority, wide_pairs
 
 WORDS = 5
 #: The least similarity of near copies, as a fraction of integers.
 OVER, UNDER = 4, 5
+#: Widths of the blocks of a SimHash fingerprint, and the radius within which two fingerprints agree on two whole blocks.
+WIDTHS, RADIUS = (8, 7, 7, 7, 7, 7, 7, 7, 7), 7
 #: Counters of shingles, and the parts in which they are added up.
 SLOTS, PARTS = 1 << 18, 16
 #: Rows of one key that are compared in one task; a larger key is laid out in square tiles of this side.
@@ -91,22 +97,22 @@ def folded(sketch: np.ndarray, words: int) -> np.ndarray:
 
 
 def _named(texts: DataFrame) -> DataFrame:
-    """(key, sid, n, sketch) per text: sid names the set; and with a part, the counters of a task's shingles in that part."""
+    """(key, sid, n, fp, sketch) per text: sid names the set, fp is its SimHash fingerprint; and with a part, the counters of a task's shingles in that part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(SLOTS, np.int64)
-        names = ["key", "sid", "n", "sketch", "part"]
+        names = ["key", "sid", "n", "fp", "sketch", "part"]
         for batch in batches:
             for low, high, sid, h, at in _sets(batch.column(1)):
                 seen += np.bincount((h >> np.uint64(32)).astype(np.int64) % SLOTS, minlength=SLOTS)
                 n = np.diff(at)
                 places = 1 << np.maximum(8, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
-                columns = [batch.column(0).slice(low, high - low), pa.array(sid), pa.array(n), pa.array(_parities(h, at, places), pa.binary()), pa.nulls(high - low, pa.int32())]
+                columns = [batch.column(0).slice(low, high - low), pa.array(sid), pa.array(n), pa.array(majority(h, at).view(np.int64)), pa.array(_parities(h, at, places), pa.binary()), pa.nulls(high - low, pa.int32())]
                 yield pa.record_batch(columns, names=names)
         own = [squeeze(x) for x in np.split(seen, PARTS)]
-        yield pa.record_batch([pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.array(own, pa.binary()), pa.array(range(PARTS), pa.int32())], names=names)
+        yield pa.record_batch([*[pa.nulls(PARTS, pa.int64())] * 4, pa.array(own, pa.binary()), pa.array(range(PARTS), pa.int32())], names=names)
 
-    return texts.mapInArrow(run, "key long, sid long, n long, sketch binary, part int")
+    return texts.mapInArrow(run, "key long, sid long, n long, fp long, sketch binary, part int")
 
 
 def _counters(marked: DataFrame) -> np.ndarray:
@@ -179,14 +185,15 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(kind), pa.array(np.concatenate([k, pairs[:, 0]])), pa.array(np.concatenate([sid, pairs[:, 1]])), pa.array(np.concatenate([n, np.zeros(len(pairs), np.int64)]))], names=["kind", "a", "b", "n"])
 
 
-def _tiled(rows: DataFrame, tile: int) -> DataFrame:
-    """Rows (k, sid, n, root) with k the key or a tile of it, and side: within a tile off the diagonal, rows of side 0 meet those
-    of side 1 only."""
+def _tiled(rows: DataFrame, tile: int, last: str = "root", spread: bool = False) -> DataFrame:
+    """Rows (k, sid, n, ``last``) with k the key or a tile of it, and side: within a tile off the diagonal, rows of side 0 meet
+    those of side 1 only. With ``spread`` the rows do not lie by key yet and stay where they are: only keys of more than
+    ``tile`` rows, of which there is one in so many rows at most, are sent to them."""
     sizes = rows.groupBy("k").agg(F.count("*").alias("m"))
-    sized = rows.join(sizes, "k")
+    sized = rows.join(F.broadcast(sizes.filter(F.col("m") > tile)), "k", "left").fillna(0, "m") if spread else rows.join(sizes, "k")
     across = F.ceil(F.col("m") / tile).cast("int")
     own = F.pmod(F.xxhash64("sid", F.lit(7)), across).cast("int")
-    kept = ["sid", "n", "root"]
+    kept = ["sid", "n", last]
     small = sized.filter(F.col("m") <= tile).select("k", F.lit(2).alias("side"), *kept)
     large = sized.filter(F.col("m") > tile).select("k", *kept, own.alias("s"), F.explode(F.sequence(F.lit(0), across - 1)).alias("o"))
     side = F.when(F.col("s") == F.col("o"), 2).when(F.col("s") < F.col("o"), 0).otherwise(1)
@@ -215,6 +222,50 @@ def _closest(i: np.ndarray, j: np.ndarray, share: np.ndarray) -> np.ndarray:
     return np.unique(pair[order][first])
 
 
+def _until(k: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of rows sorted by k and n, where the rows that each can be similar to end: under its key, up to 5/4 as large."""
+    edges = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+    until = np.empty(len(k), np.int64)
+    for low, high in zip(edges, edges[1:], strict=False):
+        until[low:high] = low + np.searchsorted(n[low:high], UNDER * n[low:high] // OVER, side="right")
+    return until
+
+
+def _blocked(nodes: DataFrame) -> DataFrame:
+    """(k, sid, n, fp) for each choice of as many blocks as fingerprints within the radius agree on."""
+    edges = np.concatenate([[0], np.cumsum(WIDTHS)]).tolist()
+    blocks = [F.shiftrightunsigned("fp", e).bitwiseAND(F.lit((1 << w) - 1)) for e, w in zip(edges, WIDTHS, strict=False)]
+    keys = [F.lit(t << 16) + F.shiftleft(blocks[i], 8) + blocks[j] for t, (i, j) in enumerate(combinations(range(len(WIDTHS)), len(WIDTHS) - RADIUS))]
+    return nodes.select(F.explode(F.array(*keys)).alias("k"), "sid", "n", "fp")
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (k, n, side, sid, fp) sorted by k and n: of each row its closest under a key, if SimHash fingerprints are within the
+    radius and sizes allow it."""
+    for k, n, side, sid, fp in _whole_keys(batches, 50_000):
+        bits = fp.view(np.uint64)[:, None]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i, j in wide_pairs(bits, _until(k, n), np.full(len(k), RADIUS)):
+            differ = np.bitwise_count(bits[i, 0] ^ bits[j, 0])
+            good = (differ <= RADIUS) & ((side[i] == 2) | (side[i] != side[j])) & _fits(n[i], n[j])
+            i, j, differ = i[good], j[good], differ[good]
+            keep = _closest(i, j, differ)
+            found.append((i[keep], j[keep], differ[keep]))
+        i, j, differ = (np.concatenate(x) for x in zip(*found, strict=True))
+        keep = _closest(i, j, differ)
+        i, j = i[keep], j[keep]
+        pairs = np.unique(np.column_stack([np.maximum(sid[i], sid[j]), np.minimum(sid[i], sid[j])]), axis=0)
+        if len(pairs):
+            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _simhash_pairs(nodes: DataFrame, tile: int) -> DataFrame:
+    """Pairs (a, b) of the sets' names that SimHash finds: for each set its closest within the radius."""
+    n = partitions(nodes.sparkSession)
+    rows = _tiled(_blocked(nodes), tile, "fp", spread=True).repartition(n, "k").sortWithinPartitions("k", "n")
+    return rows.select("k", "n", "side", "sid", "fp").mapInArrow(_alike, "a long, b long").distinct()
+
+
 def _across(closest: bool):
     """Of rows (k, n, side, sid, root, print) sorted by k and n: pairs of different roots that sizes and prints allow; with
     ``closest``, of each row only its closest under a key."""
@@ -223,10 +274,7 @@ def _across(closest: bool):
         for k, n, side, sid, root, raw in _whole_keys(batches, 50_000):
             prints = [np.frombuffer(x, "<u8") for x in raw]
             bits = np.stack([folded(x, 4) for x in prints])
-            edges = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
-            until = np.empty(len(k), np.int64)
-            for low, high in zip(edges, edges[1:], strict=False):  # only sets up to 5/4 as large can be similar
-                until[low:high] = low + np.searchsorted(n[low:high], UNDER * n[low:high] // OVER, side="right")
+            until = _until(k, n)
             limit = (UNDER - OVER) * 2 * n // (UNDER + OVER)
             found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
             for i, j in wide_pairs(bits, until, limit):
@@ -331,11 +379,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ti
     texts = _texts(docs, key, text)
     marked = written(_named(texts), "shingles")
     named = marked.filter("part IS NULL")
-    nodes = written(named.groupBy("sid").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = written(named.groupBy("sid").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "nodes")
     n = partitions(docs.sparkSession)
     keyed = _keyed(texts, _counters(marked)).repartition(n, "k").sortWithinPartitions("k", "sid")
     met = written(keyed.mapInArrow(_groups, "kind int, a long, b long, n long"), "met")
-    found = components(_proved(met.filter("kind = 1").select("a", "b"), nodes, texts))
+    found = components(_proved(_simhash_pairs(nodes, tile).unionByName(met.filter("kind = 1").select("a", "b")), nodes, texts))
     rows = met.filter("kind = 0").select(F.col("a").alias("k"), F.col("b").alias("sid"), "n")
     prints = _prints(nodes.select("sid", "sketch"))
     for closest in (True, False):

@@ -48,6 +48,18 @@ def fingerprints(texts: pa.Array, words: int = 3, seed: int = 42) -> np.ndarray:
     return np.packbits(votes * 2 > shingles[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
+def majority(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 64-bit fingerprint of each set of hashes (``at``: the n + 1 offsets between them), as ``fingerprints`` has it."""
+    size = np.diff(at)
+    votes, owner = np.zeros((len(size), 64), np.int64), np.repeat(np.arange(len(size)), size)
+    for low in range(0, len(h), _AT_ONCE):
+        t = owner[low : low + _AT_ONCE]
+        bits = np.unpackbits(h[low : low + _AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        heads = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        votes[t[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int32)
+    return np.packbits(votes * 2 > size[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
+
+
 def with_fingerprint(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, fp long) per row; a null text is an empty one and gets fingerprint zero."""
 

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import test_pipeline
 import test_simhash
+import xxhash
 
 from skerry.llm import shingles, simhash
 
@@ -100,3 +101,38 @@ def test_odd_rows(spark):
     assert got == [(1, 1), (2, 1), (3, 3), (3, 3), (None, 1), (None, 3)]
     kept = shingles.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 3]
+
+
+def simhash_of(grams):
+    hashes = [xxhash.xxh64_intdigest(" ".join(g).encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_alone_joins_what_its_radius_reaches(spark, monkeypatch):
+    rng, texts = random.Random(9), {}
+    for g in range(40):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(120, 300))]
+        texts |= {10 * g: " ".join(base), 10 * g + 1: edited(base, g % 8, g)}
+    keyed = shingles._keyed
+    monkeypatch.setattr(shingles, "_keyed", lambda *a: keyed(*a).filter("false"))  # the exact way for the rest finds nothing
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component for r in shingles.near_duplicates(docs).collect()}
+    want = {}
+    for g in range(0, 400, 10):
+        a, b = brute_set(texts[g]), brute_set(texts[g + 1])
+        near = (simhash_of(a) ^ simhash_of(b)).bit_count() <= 7 and 5 * len(a & b) >= 4 * len(a | b)
+        want |= {g: g, g + 1: g if near else g + 1}
+    assert got == want and 10 <= sum(i != c for i, c in want.items()) - sum(texts[g] == texts[g + 1] for g in range(0, 400, 10)) < 40
+
+
+def test_simhash_pairs_are_the_closest_within_the_radius(spark):
+    rng = random.Random(3)
+    centres = [rng.getrandbits(64) for _ in range(8)]
+    rows = [(i, rng.choice([60, 90, 100, 110]), centres[i % 8] ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6)))) for i in range(160)]
+    nodes = spark.createDataFrame([(i, n, x - (1 << 64) if x >> 63 else x) for i, n, x in rows], "sid long, n long, fp long")
+    apart = {(i, j): (x ^ y).bit_count() for i, n, x in rows for j, m, y in rows if i > j and 5 * min(n, m) >= 4 * max(n, m)}
+    best = {i: min([d for p, d in apart.items() if i in p and d <= 7], default=None) for i in range(160)}
+    for tile in (shingles.TILE, 4):
+        got = {(r.a, r.b) for r in shingles._simhash_pairs(nodes, tile).collect()}
+        assert all(apart[p] <= 7 for p in got)
+        assert {i: min([apart[p] for p in got if i in p], default=None) for i in range(160)} == best
